@@ -143,8 +143,8 @@ def _(spark, sf):
 @query("d9_f_and_m_score", "SELECT cust_id, f_score, m_score FROM v_scores")
 def _(spark, sf):
     base = cu.rfm_base(M(spark, sf).merged)
-    return rk.quantile_score(rk.quantile_score(base, "frequency", "cust_id", "f_score"),
-                             "monetary", "cust_id", "m_score").select("cust_id", "f_score", "m_score")
+    return rk.quantile_score(base, "frequency", "cust_id", "f_score").join(
+        rk.quantile_score(base, "monetary", "cust_id", "m_score"), "cust_id").select("cust_id", "f_score", "m_score")
 
 
 @query("d10_rfm_score", "SELECT cust_id, rfm_score FROM v_scores")

@@ -87,6 +87,11 @@ def share(part: str | Column, whole: str | Column, digits: int = 6) -> Column:
     return F.round(F.try_divide(col(part).cast("double"), col(whole).cast("double")), digits)
 
 
+def half_up(c: str | Column, digits: int = 2) -> Column:
+    """Decimal rounding: binary noise past the 8th place goes first, then half up."""
+    return F.round(F.round(col(c), 8), digits)
+
+
 def clip(c: str | Column, low: float | None = None, high: float | None = None) -> Column:
     out = col(c)
     if low is not None:

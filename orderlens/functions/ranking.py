@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .columns import col
+from .columns import half_up
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k, rank: str = "rank") -> DataFrame:
@@ -135,5 +135,5 @@ def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], keys: Seque
         hi = F.max(F.when((low_rank <= ce) & (ce <= high_rank), v))
         frac = F.max(pos - fl)
         out = lo + (hi - lo) * frac
-        aggs.append((F.round(out, digits) if digits is not None else out).alias(name))
+        aggs.append((half_up(out, digits) if digits is not None else out).alias(name))
     return ranks.groupBy(*keys).agg(*aggs) if keys else ranks.agg(*aggs)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import flag
+from ..functions.columns import flag, half_up
 from ..functions.ranking import first_per_key
 from ..params import CleaningParams
 
@@ -92,4 +92,4 @@ def shape_purchases(lines: DataFrame, products: DataFrame, mode: str = "line_tot
     return (lines.filter((F.col("amount") > 0) & F.col("order_date").isNotNull())
             .join(products.select("item_id"), "item_id", "left_semi")
             .select("order_id", "line_no", "cust_id", "item_id", qty.alias("quantity"),
-                    F.round(price, 2).alias("unit_price"), F.col("order_date").alias("sold_at")))
+                    half_up(price).alias("unit_price"), F.col("order_date").alias("sold_at")))

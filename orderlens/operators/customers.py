@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking as rk
 from ..functions import text
-from ..functions.columns import bands, col, flag, lookup
+from ..functions.columns import bands, col, flag, half_up, lookup
 from ..params import (MARKET_NAMES, SEGMENT_WEIGHTS, SIZE_NAMES, SIZE_TIERS, CleaningParams,
                       SizeParams, SupplierParams)
+from ..session import stage
 
 
 def _paid() -> Column:
@@ -30,7 +31,7 @@ def specialty_stats(sales: DataFrame, customers: DataFrame) -> DataFrame:
     total = F.sum("total_revenue").over(W.partitionBy(F.lit(0)))  # one row per specialty: small
     return (by.withColumn("pct_of_total_revenue", F.round(F.col("total_revenue") / total * 100, 4))
             .withColumn("avg_revenue_per_order",
-                        F.round(F.try_divide(F.col("total_revenue"), F.col("unique_orders")), 2)))
+                        half_up(F.try_divide(F.col("total_revenue"), F.col("unique_orders")))))
 
 
 def specialty_tier(n: str | Column, p: CleaningParams) -> Column:
@@ -68,7 +69,7 @@ def rfm_base(merged: DataFrame) -> DataFrame:
         F.countDistinct("order_id").alias("frequency"),
         F.round(F.sum("amount"), 2).alias("monetary"),
         F.countDistinct(F.coalesce("family", F.lit("Unknown"))).alias("n_categories_bought"),
-        F.round(F.round(F.sum("amount"), 2) / F.countDistinct("order_id"), 2).alias("avg_revenue_per_order"))
+        half_up(F.round(F.sum("amount"), 2) / F.countDistinct("order_id")).alias("avg_revenue_per_order"))
     return out.withColumn("recency_days", F.greatest(F.datediff(latest, "last_order_date"), F.lit(0)))
 
 
@@ -105,9 +106,10 @@ def r_score(df: DataFrame, value: str = "recency_days", out: str = "r_score") ->
 
 
 def value_scores(base: DataFrame) -> DataFrame:
+    base = stage(base, "rfm_base")  # every score takes several passes over it
     out = r_score(base)
-    out = rk.quantile_score(out, "frequency", "cust_id", "f_score")
-    out = rk.quantile_score(out, "monetary", "cust_id", "m_score")
+    for value, score in (("frequency", "f_score"), ("monetary", "m_score")):
+        out = out.join(rk.quantile_score(base.select("cust_id", value), value, "cust_id", score).drop(value), "cust_id")
     return out.withColumn("rfm_score", F.concat(*[F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")]))
 
 
@@ -135,8 +137,8 @@ def monthly_spend_volume(sales: DataFrame, primary: str = "qty", fallback: str =
 def median_monthly(monthly: DataFrame) -> DataFrame:
     # one value per calendar month and customer: a bounded buffer
     return monthly.groupBy("cust_id").agg(
-        F.round(F.median("month_spend"), 2).alias("median_monthly_spend"),
-        F.round(F.median("month_volume"), 2).alias("median_monthly_volume"),
+        half_up(F.median("month_spend")).alias("median_monthly_spend"),
+        half_up(F.median("month_volume")).alias("median_monthly_volume"),
         F.count("month_spend").alias("active_months_total"))
 
 
@@ -171,8 +173,8 @@ def size_stats(sales: DataFrame, p: SizeParams) -> DataFrame:
     out = (out.withColumn("spend_tier", step_tier("median_monthly_spend", p.spend, "active_months_last_12", p.min_active_months))
            .withColumn("volume_tier", step_tier("median_monthly_volume", p.volume, "active_months_last_12", p.min_active_months)))
     out = out.withColumn("size_tier", size_tier("spend_tier", "volume_tier", p.rule))
-    return out.withColumn("affordability_ceiling", F.round(
-        F.col("median_monthly_spend") * lookup("size_tier", p.ceiling), 2))
+    return out.withColumn("affordability_ceiling", half_up(
+        F.col("median_monthly_spend") * lookup("size_tier", p.ceiling)))
 
 
 # ---- encodings ----
