@@ -100,12 +100,18 @@ def average_rank_pct(df: DataFrame, value: str, keys: Sequence[str] = (), out: s
     return df.join(ranks.select(*keys, value, pct.alias(out)), [*keys, value], "left")
 
 
-def min_rank(df: DataFrame, value: str, out: str, descending: bool = True) -> DataFrame:
-    """Competition rank (1, 2, 2, 4) over the whole frame."""
-    ranks = value_ranks(df, value)
-    r = (F.col("n_total") - F.col("n_smaller") - F.col("n_equal") + 1 if descending
-         else F.col("n_smaller") + 1)
-    return df.join(ranks.select(value, r.alias(out)), value)
+def min_ranks(df: DataFrame, ranks: dict[str, str], descending: bool = True) -> DataFrame:
+    """Competition ranks (1, 2, 2, 4) over the whole frame, value column -> rank column.
+
+    ``df`` is read once per value, so it should be a stored table.
+    """
+    out = df
+    for value, name in ranks.items():
+        found = value_ranks(df.select(value), value)
+        r = (F.col("n_total") - F.col("n_smaller") - F.col("n_equal") + 1 if descending
+             else F.col("n_smaller") + 1)
+        out = out.join(found.select(value, r.alias(name)), value)
+    return out
 
 
 def quantile_score(df: DataFrame, value: str, tie: str, out: str, bins: int = 5) -> DataFrame:
@@ -137,3 +143,32 @@ def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], keys: Seque
         out = lo + (hi - lo) * frac
         aggs.append((half_up(out, digits) if digits is not None else out).alias(name))
     return ranks.groupBy(*keys).agg(*aggs) if keys else ranks.agg(*aggs)
+
+
+def quantiles(df: DataFrame, measures: dict[str, tuple[str, float]], keys: Sequence[str],
+              digits: int = 4, limit: int = 1_000_000) -> DataFrame:
+    """Exact quantiles of several columns per key: name -> (column, q).
+
+    The built-in aggregate buffers the values of one key in one task, so it serves only
+    keys with at most ``limit`` rows; larger keys take the binned route. ``df`` should be a
+    stored table: its key sizes are checked first.
+    """
+    keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
+
+    def built_in(part: DataFrame) -> DataFrame:
+        return part.groupBy(*keys).agg(*[
+            half_up(F.percentile(F.col(c).cast("double"), F.lit(q)), digits).alias(n)
+            for n, (c, q) in measures.items()])
+
+    if not sizes.head(1):
+        return built_in(df)
+    hot = df.join(sizes, keys, "left_semi")
+    cells = F.array(*[F.struct(F.lit(n).alias("_m"), F.col(c).cast("double").alias("_x"))
+                      for n, (c, _) in measures.items()])
+    long = hot.select(*keys, F.inline(cells))
+    wanted = sorted({q for _, q in measures.values()})
+    found = exact_quantiles(long, "_x", {f"_q{i}": q for i, q in enumerate(wanted)}, [*keys, "_m"], digits)
+    wide = found.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("_m") == n, F.col(f"_q{wanted.index(q)}"))).alias(n) for n, (_, q) in measures.items()])
+    return built_in(df.join(sizes, keys, "left_anti")).unionByName(wide)

@@ -283,12 +283,7 @@ SEGMENT_MEASURES = {
 
 
 def group_medians(df: DataFrame, key: str, measures: Mapping[str, str], digits: int = 4) -> DataFrame:
-    """Exact medians of many measures per key: one long frame, one quantile pass."""
-    cells = F.array(*[F.struct(F.lit(n).alias("measure"), F.col(c).cast("double").alias("value"))
-                      for n, c in measures.items()])
-    long = df.select(key, F.inline(cells))
-    med = rk.exact_quantiles(long, "value", {"med": 0.5}, [key, "measure"], digits)
-    return med.groupBy(key).pivot("measure", list(measures)).agg(F.first("med"))
+    return rk.quantiles(df, {n: (c, 0.5) for n, c in measures.items()}, [key], digits)
 
 
 def segment_profile(features: DataFrame, segments: DataFrame, market_names: Mapping = MARKET_NAMES) -> DataFrame:

@@ -28,7 +28,7 @@ PATTERNS = PatternParams(frequent_days=150, regular_days=300, alive_rate=0.10, c
 # item grain in the top-10 flow: repeats are rare, so one repeat buyer counts
 PATTERNS_ITEM = PatternParams(frequent_days=150, regular_days=300, alive_rate=0.10, cold_products=20,
                               segment_buyers=1, segment_repeat=1)
-FAMILY_RULES = FamilyRuleParams(min_segment=10, window_days=180)
+FAMILY_RULES = FamilyRuleParams(min_segment=10, window_days=2000)
 PAIRS = PairParams(min_buyers=20, min_together=2, min_support=0.00001)
 PRODUCTS = ProductParams(min_buyers=20)
 ENGINE = EngineParams(min_buyers=20, universal_hhi=0.07, market_share=0.30, size_share=0.25,

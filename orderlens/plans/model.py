@@ -9,9 +9,14 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import behaviour as bh
 from ..operators import customers as cu
 from ..operators import joins
+from ..operators import pairs as pa
+from ..operators import products as pr
+from ..params import SIZE_TIERS
 from ..session import stage
 from . import driver_tables as d
 
@@ -57,3 +62,93 @@ class Model:
     @cached_property
     def segments(self) -> DataFrame:
         return cu.assign_segments(self.features, d.MARKETS)
+
+    @cached_property
+    def latest(self) -> DataFrame:
+        return bh.newest_date(self.sales)
+
+    @cached_property
+    def cust_items(self) -> DataFrame:
+        pairs = pr.min_buyers(pr.cust_item_agg(self.eligible), d.PRODUCTS.min_buyers)
+        return self._keep(pr.with_context(pairs, self.segments, self.features), "cust_items")
+
+    @cached_property
+    def product_features(self) -> DataFrame:
+        return self._keep(pr.product_features(
+            self.cust_items, self.latest, self.items, self.segments, (*d.MARKETS, "OTHER"), SIZE_TIERS, d.PRODUCTS),
+            "product_features")
+
+    @cached_property
+    def product_specialty(self) -> DataFrame:
+        return self._keep(pr.product_specialty(self.cust_items, d.PRODUCTS), "product_specialty")
+
+    @cached_property
+    def pattern_lines(self) -> DataFrame:
+        return joins.eligible_lines(self.merged, d.EXCLUDED_FAMILIES)
+
+    @cached_property
+    def lapsed(self) -> DataFrame:
+        return self._keep(bh.lapsed_products(self.pattern_lines, self.latest, d.PATTERNS), "lapsed")
+
+    @cached_property
+    def patterns(self) -> DataFrame:
+        lines = self.pattern_lines
+        return self._keep(bh.customer_patterns(
+            bh.order_cadence(lines, d.PATTERNS), bh.activity_trend(lines, self.latest, d.PATTERNS),
+            bh.portfolio(lines, self.lapsed), self.segments, d.PATTERNS), "customer_patterns")
+
+    @cached_property
+    def coarse_cadence(self) -> DataFrame:
+        """Personal cadence at the coarse item grain, where repeats are common."""
+        lines = self.pattern_lines.join(d.coarse_items(self.items), "item_id").withColumn("item_id", F.col("coarse_id"))
+        return self._keep(bh.personal_cadence(lines), "coarse_cadence")
+
+    @cached_property
+    def item_cadence(self) -> DataFrame:
+        return self._keep(bh.personal_cadence(self.pattern_lines), "item_cadence")
+
+    @cached_property
+    def replenishment(self) -> DataFrame:
+        cadence = bh.segment_cadence(self.item_cadence, self.segments, self.latest, d.PATTERNS_ITEM)
+        return self._keep(bh.replenishment_candidates(
+            self.item_cadence, cadence, self.segments, self.latest, d.PATTERNS_ITEM), "replenishment")
+
+    @cached_property
+    def family_firsts(self) -> DataFrame:
+        return self._keep(bh.first_family_dates(self.eligible, self.segments), "family_firsts")
+
+    @cached_property
+    def family_profile(self) -> DataFrame:
+        return self._keep(bh.segment_family_profile(self.eligible, self.segments), "family_profile")
+
+    @cached_property
+    def baskets(self) -> DataFrame:
+        return self._keep(pa.weekly_baskets(self.eligible, d.PAIRS.min_buyers), "baskets")
+
+    @cached_property
+    def cooccurrence(self) -> DataFrame:
+        return self._keep(pa.cooccurrence(self.baskets, d.PAIRS), "cooccurrence")
+
+    @cached_property
+    def product_pairs(self) -> DataFrame:
+        top = pa.directional_topk(self.cooccurrence, d.PAIRS.top_pairs)
+        return self._keep(joins.describe_pairs(top, self.items, "product_a", "product_b"), "product_pairs")
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return self._keep(pa.centred_weights(pr.cust_item_agg(self.eligible), d.PAIRS.min_buyers), "weights")
+
+    @cached_property
+    def similarity(self) -> DataFrame:
+        return self._keep(pa.similar_topn(pa.item_similarity(self.weights, d.PAIRS), d.PAIRS.sim_top), "similarity")
+
+    @cached_property
+    def match_catalogue(self) -> DataFrame:
+        economics = pr.product_economics(self.merged, d.COMPETITORS, d.EXCLUDED_FAMILIES)
+        return self._keep(pa.match_catalogue(pr.parsed_items(self.items), economics), "match_catalogue")
+
+    @cached_property
+    def equivalents(self) -> DataFrame:
+        return self._keep(pa.equivalents_union(
+            pa.brand_upgrades(self.match_catalogue, d.PAIRS),
+            pa.competitor_conversions(self.match_catalogue, d.PAIRS)), "equivalents")
