@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import behaviour as bh
+from ..operators import combine as cb
 from ..operators import customers as cu
 from ..operators import joins
 from ..operators import pairs as pa
 from ..operators import products as pr
-from ..params import SIZE_TIERS
+from ..operators import signals as sg
+from ..params import SIGNALS, SIZE_TIERS
 from ..session import stage
 from . import driver_tables as d
 
@@ -152,3 +154,41 @@ class Model:
         return self._keep(pa.equivalents_union(
             pa.brand_upgrades(self.match_catalogue, d.PAIRS),
             pa.competitor_conversions(self.match_catalogue, d.PAIRS)), "equivalents")
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        return self._keep(sg.customer_profile(self.segments, self.features, self.patterns), "profile")
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return self._keep(sg.purchase_history(self.merged), "history")
+
+    @cached_property
+    def engine_products(self) -> DataFrame:
+        return self._keep(sg.eligible_products(self.product_features, d.ENGINE), "engine_products")
+
+    def signal(self, name: str) -> DataFrame:
+        p, e = d.ENGINE, (self.engine_products, self.product_specialty)
+        return {
+            "peer_gap": lambda: sg.peer_gap(self.profile, self.family_profile, *e, self.history, p),
+            "popularity": lambda: sg.popularity_recs(
+                self.profile, *e, self.history, (*d.MARKETS, "OTHER"), SIZE_TIERS, p),
+            "cart_complement": lambda: sg.cart_complement(self.profile, self.product_pairs, *e, self.history, p),
+            "item_similarity": lambda: sg.item_similarity(self.profile, self.similarity, *e, self.history, p),
+            "lapsed_recovery": lambda: sg.lapsed_recovery(self.profile, self.lapsed, *e, p),
+            "replenishment": lambda: sg.replenishment(self.profile, self.replenishment, *e, p),
+            "competitor_conversion": lambda: sg.competitor_conversion(self.profile, self.equivalents, *e, self.history, p),
+            "private_brand_upgrade": lambda: sg.brand_upgrade(self.profile, self.equivalents, *e, self.history, p),
+        }[name]()
+
+    @cached_property
+    def signals(self) -> list[DataFrame]:
+        return [self.signal(s) for s in SIGNALS]
+
+    @cached_property
+    def _recommendations(self) -> DataFrame:
+        return self._keep(cb.recommendations(self.signals, self.profile, self.product_features, d.ENGINE), "recommendations")
+
+    def recommendations(self) -> DataFrame:
+        """The flagship table: an explained top-10 per customer."""
+        return self._recommendations
