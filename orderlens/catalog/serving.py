@@ -106,10 +106,10 @@ def _(spark, sf):
 
 
 @query("j9_customer_search", """
-SELECT cust_id, cust_name, market, CASE WHEN cust_id IN (SELECT cust_id FROM v_current) THEN 1 ELSE 0 END AS has_account FROM v_customers WHERE cust_name ILIKE '%0001%'""")
+SELECT cust_id, cust_name, market, CASE WHEN cust_id IN (SELECT cust_id FROM v_current) THEN 1 ELSE 0 END AS has_account FROM v_customers WHERE cust_name ILIKE '%R#00000001%'""")
 def _(spark, sf):
     accounts = st.current_assignment(st.assignment_history(state.changes(spark, sf)))
-    return sv.customer_filter(d.customers(spark, sf), accounts, term="0001").select("cust_id", "cust_name", "market", "has_account")
+    return sv.customer_filter(d.customers(spark, sf), accounts, term="r#00000001").select("cust_id", "cust_name", "market", "has_account")
 
 
 @query("j9_customer_filter", """
