@@ -4,7 +4,7 @@ from . import base_sql  # noqa: F401
 from .registry import ORACLES, QUERIES, complete
 
 _GROUPS = ("cleaning", "customers", "products", "behaviour", "pairs", "signals", "serving",
-           "dashboards", "profiling", "quality", "state")
+           "dashboards", "profiling", "quality", "state", "live")
 
 
 def _load() -> None:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ranking as rk
@@ -153,7 +154,6 @@ def stratified_sample(customers: DataFrame, strata: Sequence[str], budget: int,
     """About equal shares per stratum within the budget, the rest from everyone left; order by a seeded hash."""
     h = F.md5(F.concat_ws("-", F.col("cust_id").cast("string"), F.lit(str(seed))))
     df = customers.select("cust_id", *strata).withColumn("_h", h)
-    from pyspark.sql import Window as W
     cells = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))  # a handful of rows
     n_cells = cells.agg(F.count(F.lit(1)).alias("n")).scalar()
     base = F.greatest(F.lit(2), F.floor(F.lit(budget) / F.col("_cells")).cast("int"))
@@ -185,7 +185,7 @@ def cart_backtest(cart: DataFrame, pairs: DataFrame, equivalents: DataFrame, ite
     mine = cart.join(items.select("item_id", "category"), "item_id").select("cust_id", "category", F.lit(1).alias("_in")).distinct()
     comp = comp.join(mine, ["cust_id", "category"], "left").groupBy("cust_id").agg(
         F.count(F.lit(1)).alias("n_complements"), F.round(F.avg(F.coalesce("_in", F.lit(0))), 6).alias("category_alignment"),
-        F.round(F.avg("is_private_brand"), 6).alias("house_brand_rate"), F.round(F.avg("lift"), 6).alias("avg_lift"))
+        F.round(F.avg("is_private_brand"), 6).alias("house_brand_rate"), half_up(F.avg("lift"), 4).alias("avg_lift"))
 
     def n(kind, name, improving):
         return serving.cart_swaps(cart, equivalents, kind, 3, improving).groupBy("cust_id").agg(F.count(F.lit(1)).alias(name))

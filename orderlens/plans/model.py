@@ -18,7 +18,8 @@ from ..operators import joins
 from ..operators import pairs as pa
 from ..operators import products as pr
 from ..operators import signals as sg
-from ..params import SIGNALS, SIZE_TIERS
+from ..operators.evaluation import before_holdout
+from ..params import SIGNALS, SIZE_TIERS, EvalParams
 from ..session import stage
 from . import driver_tables as d
 
@@ -192,3 +193,9 @@ class Model:
     def recommendations(self) -> DataFrame:
         """The flagship table: an explained top-10 per customer."""
         return self._recommendations
+
+    def before_holdout(self, p: EvalParams) -> Model:
+        """The same tables built from the lines before the holdout only."""
+        if "_past" not in self.__dict__:
+            self._past = Model(before_holdout(self.sales, p), self.customers, self.items, self.reuse)
+        return self._past
