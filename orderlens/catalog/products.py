@@ -212,7 +212,7 @@ SELECT item_id, count(DISTINCT cust_id) AS n_buyers,
 
 @query("f17_product_economics", "SELECT * FROM v_econ")
 def _(spark, sf):
-    return pr.product_economics(M(spark, sf).merged, d.COMPETITORS, d.EXCLUDED_FAMILIES)
+    return pr.product_economics(M(spark, sf).item_lines, d.COMPETITORS, d.EXCLUDED_FAMILIES)
 
 
 def _re(pattern):

@@ -145,7 +145,7 @@ def _(spark, sf):
 
 @query("i2_purchase_history", "SELECT * FROM v_history")
 def _(spark, sf):
-    return sg.purchase_history(M(spark, sf).merged)
+    return sg.purchase_history(M(spark, sf).sales)
 
 
 @query("i3_eligible_products", "SELECT item_id, n_buyers, months_since_last_buyer FROM v_ep")

@@ -251,15 +251,16 @@ def label_distribution(df: DataFrame, column: str, meanings: Mapping) -> DataFra
 
 # ---- features and segments ----
 
-def customer_features(merged: DataFrame, customers: DataFrame, competitors: Sequence[str],
+def customer_features(sales: DataFrame, item_lines: DataFrame, customers: DataFrame, competitors: Sequence[str],
                       size: SizeParams, supplier: SupplierParams) -> DataFrame:
-    base = rfm_base(merged)
+    """All features; only the parts that need product attributes read the lines joined with items."""
+    base = rfm_base(item_lines)
     return (value_scores(base)
-            .join(category_hhi(merged), "cust_id", "left")
-            .join(order_gaps(merged), "cust_id", "left")
-            .join(churn_labels(merged), "cust_id", "left")
-            .join(supplier_profile(merged, competitors, supplier), "cust_id", "left")
-            .join(size_stats(merged, size), "cust_id", "left")
+            .join(category_hhi(item_lines), "cust_id", "left")
+            .join(order_gaps(sales), "cust_id", "left")
+            .join(churn_labels(sales), "cust_id", "left")
+            .join(supplier_profile(item_lines, competitors, supplier), "cust_id", "left")
+            .join(size_stats(sales, size), "cust_id", "left")
             .join(customers.select("cust_id", "market", "specialty", "state", "cust_type", "cust_class"),
                   "cust_id", "left")
             .fillna({"category_hhi": 1.0, "avg_order_gap_days": 0.0, "cycle_regularity": 0.0,

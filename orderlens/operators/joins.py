@@ -25,6 +25,11 @@ def star_join(sales: DataFrame, customers: DataFrame, items: DataFrame,
             .withColumn("order_day", F.dayofmonth("order_date")))
 
 
+def with_items(sales: DataFrame, items: DataFrame) -> DataFrame:
+    """Order lines with product attributes only, for operators that need nothing of the customer."""
+    return sales.join(items.select(*[c for c in ITEM_COLUMNS if c in items.columns]), "item_id", "left")
+
+
 def eligible_lines(merged: DataFrame, excluded_families=(), excluded_suppliers=()) -> DataFrame:
     """Paid lines with keys, outside the excluded families and suppliers."""
     out = merged.filter((F.col("amount") > 0) & F.col("cust_id").isNotNull() & F.col("item_id").isNotNull())

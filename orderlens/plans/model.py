@@ -50,7 +50,11 @@ class Model:
 
     @cached_property
     def eligible(self) -> DataFrame:
-        return joins.eligible_lines(self.merged, d.EXCLUDED_FAMILIES, d.COMPETITORS)
+        return joins.eligible_lines(self.item_lines, d.EXCLUDED_FAMILIES, d.COMPETITORS)
+
+    @cached_property
+    def item_lines(self) -> DataFrame:
+        return joins.with_items(self.sales, self.items)
 
     @cached_property
     def specialty_tiers(self) -> DataFrame:
@@ -59,7 +63,7 @@ class Model:
 
     @cached_property
     def features(self) -> DataFrame:
-        return self._keep(cu.customer_features(self.merged, self.customers, d.COMPETITORS, d.SIZE, d.SUPPLIER),
+        return self._keep(cu.customer_features(self.sales, self.item_lines, self.customers, d.COMPETITORS, d.SIZE, d.SUPPLIER),
                           "customer_features")
 
     @cached_property
@@ -87,7 +91,7 @@ class Model:
 
     @cached_property
     def pattern_lines(self) -> DataFrame:
-        return joins.eligible_lines(self.merged, d.EXCLUDED_FAMILIES)
+        return joins.eligible_lines(self.item_lines, d.EXCLUDED_FAMILIES)
 
     @cached_property
     def lapsed(self) -> DataFrame:
@@ -147,7 +151,7 @@ class Model:
 
     @cached_property
     def match_catalogue(self) -> DataFrame:
-        economics = pr.product_economics(self.merged, d.COMPETITORS, d.EXCLUDED_FAMILIES)
+        economics = pr.product_economics(self.item_lines, d.COMPETITORS, d.EXCLUDED_FAMILIES)
         return self._keep(pa.match_catalogue(pr.parsed_items(self.items), economics), "match_catalogue")
 
     @cached_property
@@ -162,7 +166,7 @@ class Model:
 
     @cached_property
     def history(self) -> DataFrame:
-        return self._keep(sg.purchase_history(self.merged), "history")
+        return self._keep(sg.purchase_history(self.sales), "history")
 
     @cached_property
     def engine_products(self) -> DataFrame:
