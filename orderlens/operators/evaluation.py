@@ -163,8 +163,8 @@ def stratified_sample(customers: DataFrame, strata: Sequence[str], budget: int,
     ranked = rk.top_k(df, list(strata), ["_h", "cust_id"], budget, "_r").join(take, list(strata))
     first = ranked.filter(F.col("_r") <= F.col("_take")).select("cust_id", *strata)
     used = take.agg(F.sum("_take").alias("n")).scalar()
-    left = rk.top_k(df.join(first.select("cust_id"), "cust_id", "left_anti").withColumn("_all", F.lit(1)), ["_all"],
-                    ["_h", "cust_id"], budget, "_r").withColumn("_used", used)
+    rest = df.join(first.select("cust_id"), "cust_id", "left_anti").orderBy("_h", "cust_id").limit(budget)
+    left = rest.withColumn("_r", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_h", "cust_id"))).withColumn("_used", used)
     extra = left.filter(F.col("_r") <= F.lit(budget) - F.col("_used")).select("cust_id", *strata)
     return first.unionByName(extra)
 

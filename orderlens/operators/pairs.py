@@ -120,10 +120,10 @@ def lift_summary(pairs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("product_a").alias("n_products"),
         F.round(F.avg("same_family") * 100, 2).alias("same_family_pct"),
         F.min("lift").alias("min_lift"), F.max("lift").alias("max_lift"))
-    lift = rk.exact_quantiles(pairs, "lift", {"median_lift": 0.5, "p90_lift": 0.9}, digits=4)
-    conf = rk.exact_quantiles(pairs, "confidence", {"median_confidence": 0.5, "p90_confidence": 0.9}, digits=4)
-    one = F.lit(1).alias("_one")
-    return totals.select("*", one).join(lift.select("*", one), "_one").join(conf.select("*", one), "_one").drop("_one")
+    for column, names in (("lift", ("median_lift", "p90_lift")), ("confidence", ("median_confidence", "p90_confidence"))):
+        q = rk.exact_quantiles(pairs, column, {"m": 0.5, "p": 0.9}, digits=4)
+        totals = totals.withColumns({names[0]: q.select("m").scalar(), names[1]: q.select("p").scalar()})
+    return totals
 
 
 def strongest_pairs(pairs: DataFrame, measure: str, k: int = 500) -> DataFrame:

@@ -40,8 +40,9 @@ def cold_start_lookup(features: DataFrame, specialty: DataFrame, specialties: Da
     best = [F.desc_nulls_last("recent_buyer_count_6mo"), F.desc_nulls_last("n_buyers"), "item_id"]
     own = rk.top_k(df.join(specialties.withColumnRenamed("specialty", "top_specialty_1"), "top_specialty_1", "left_semi"),
                    ["top_specialty_1"], best, n, "r").withColumn("specialty", F.col("top_specialty_1")).withColumn("tier", F.lit(0))
-    overall = df.orderBy(*best).limit(2 * n).withColumn("_all", F.lit(1))
-    other = specialties.withColumn("_all", F.lit(1)).join(overall, "_all").filter(
+    overall = df.orderBy(*best).limit(2 * n).agg(F.collect_list(F.struct(
+        "item_id", "recent_buyer_count_6mo", "n_buyers", "top_specialty_1")).alias("rows")).scalar()
+    other = specialties.withColumn("_rows", overall).select("specialty", F.inline("_rows")).filter(
         ~F.col("top_specialty_1").eqNullSafe(F.col("specialty"))).withColumn("tier", F.lit(1))
     cols = ["specialty", "item_id", "recent_buyer_count_6mo", "n_buyers", "tier"]
     out = rk.top_k(own.select(*cols).unionByName(other.select(*cols)), ["specialty"], ["tier", *best], n)

@@ -53,6 +53,22 @@ def drop_bought(candidates: DataFrame, history: DataFrame) -> DataFrame:
     return candidates.join(history.select("cust_id", "item_id"), ["cust_id", "item_id"], "left_anti")
 
 
+def with_own_items(customers: DataFrame, history: DataFrame, pool: DataFrame) -> DataFrame:
+    """Customers with the pool items they already buy as an array.
+
+    The pool is a fixed number of items, so the array is bounded. It lets a fan-out of
+    customers over the pool drop bought items in place: the candidates keep the
+    customer partitioning and are cut to the best k without ever being shuffled.
+    """
+    own = history.select("cust_id", "item_id").join(pool.select("item_id"), "item_id", "left_semi").groupBy("cust_id").agg(
+        F.collect_list("item_id").alias("own"))
+    return customers.join(own, "cust_id", "left")
+
+
+def not_own() -> Column:
+    return ~F.coalesce(F.array_contains("own", F.col("item_id")), F.lit(False))
+
+
 def specialty_match(candidates: DataFrame, specialty: DataFrame, p: EngineParams) -> DataFrame:
     tops = [f"top_specialty_{i}" for i in range(1, 6)]
     out = candidates.join(specialty.select("item_id", *tops, "specialty_hhi"), "item_id", "left")
@@ -105,10 +121,11 @@ def family_pool(products: DataFrame, k: int) -> DataFrame:
 def peer_gap(profile: DataFrame, family_profile: DataFrame, products: DataFrame, specialty: DataFrame,
              history: DataFrame, p: EngineParams) -> DataFrame:
     families = family_profile.filter(F.col("adoption_rate") >= p.peer_adoption).select("segment", "family", "adoption_rate")
+    pool = family_pool(products, p.family_pool).select(*_PRODUCT, "family")
     # segment x family x product is catalogue-sized; customers meet it once, on the segment
-    offers = families.join(family_pool(products, p.family_pool).select(*_PRODUCT, "family"), "family").drop("family")
-    c = profile.filter("is_cold_start = 0").select(*_PROFILE).join(offers, "segment").filter(affordable(p))
-    c = specialty_match(drop_bought(c, history), specialty, p)
+    offers = families.join(pool, "family").drop("family")
+    warm = with_own_items(profile.filter("is_cold_start = 0").select(*_PROFILE), history, pool)
+    c = specialty_match(warm.join(offers, "segment").filter(affordable(p) & not_own()).drop("own"), specialty, p)
     return _finish(c, "peer_gap", F.col("adoption_rate") * F.log1p("n_buyers") * F.col("mult"), _private(0.5), _dec(0.3), 0.0,
                    _tier((F.col("specialty_match") == "match") & (F.col("adoption_rate") >= 0.5)), p.per_signal,
                    F.col("adoption_rate"))
@@ -132,13 +149,14 @@ def cold_start_pool(cells: DataFrame, products: DataFrame, markets: Sequence[str
     best = [F.desc("popularity_score"), "item_id"]
     level1 = rk.top_k(two, ["market_clean", "size_tier"], best, p.pool).select("market_clean", "size_tier", "item_id", "popularity_score")
     level2 = rk.top_k(by_market, ["market_clean"], best, p.pool).select("market_clean", "item_id", "popularity_score")
-    level3 = products.withColumn("popularity_score", popularity()).orderBy(*best).limit(p.pool).select("item_id", "popularity_score")
+    level3 = products.withColumn("popularity_score", popularity()).orderBy(*best).limit(p.pool).agg(
+        F.collect_list(F.struct("item_id", "popularity_score")).alias("rows")).scalar()  # at most p.pool entries
     keys = ["market_clean", "size_tier"]
     got1 = cells.join(level1, keys)
     rest = cells.join(level1.select(*keys), keys, "left_anti")
     got2 = rest.join(level2, "market_clean")
-    last = rest.join(level2.select("market_clean"), "market_clean", "left_anti").withColumn("_all", F.lit(1))
-    got3 = last.join(level3.withColumn("_all", F.lit(1)), "_all").drop("_all")
+    last = rest.join(level2.select("market_clean"), "market_clean", "left_anti")
+    got3 = last.withColumn("_rows", level3).select(*keys, F.inline("_rows"))
     cols = [*keys, "item_id", "popularity_score"]
     return got1.select(*cols).unionByName(got2.select(*cols)).unionByName(got3.select(*cols))
 
@@ -148,8 +166,9 @@ def popularity_recs(profile: DataFrame, products: DataFrame, specialty: DataFram
     cold = profile.filter("is_cold_start = 1").select(*_PROFILE)
     pool = cold_start_pool(cold.select("market_clean", "size_tier").distinct(), products, markets, sizes, p)
     offers = pool.join(products.select(*_PRODUCT), "item_id")
-    c = cold.join(offers, ["market_clean", "size_tier"]).filter(affordable(p))
-    c = specialty_match(drop_bought(c, history), specialty, p)
+    cold = with_own_items(cold, history, pool.select("item_id").distinct())
+    c = cold.join(offers, ["market_clean", "size_tier"]).filter(affordable(p) & not_own()).drop("own")
+    c = specialty_match(c, specialty, p)
     match = F.when(F.col("specialty_match") == "match", 0.5).otherwise(0.0)
     return _finish(c, "popularity", F.col("popularity_score"), _private(0.3), match, 0.0, F.lit("medium"), p.per_signal)
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ranking as rk
 from ..functions.columns import flag
 from ..functions.prefix import running
 from ..params import REJECTION_REASONS
@@ -117,5 +116,6 @@ def rejection_resolution(log: DataFrame) -> DataFrame:
 def distinct_cart_items(cart: DataFrame) -> DataFrame:
     """Items of each active cart in add order."""
     first = cart.filter("status = 'in_cart'").groupBy("cust_id", "item_id").agg(
-        F.min(F.struct("added_at", "cart_item_id")).alias("f"))
-    return rk.top_k(first, ["cust_id"], ["f", "item_id"], 2**31 - 1, "position").select("cust_id", "item_id", "position")
+        F.min(F.struct("added_at", "cart_item_id")).alias("f")).withColumn("_day", F.to_date("f.added_at"))
+    placed = running(first, ["cust_id"], ["f", "item_id"], "_day", {"_before": (F.sum, F.lit(1))})
+    return placed.select("cust_id", "item_id", (F.col("_before") + 1).alias("position"))
