@@ -236,7 +236,7 @@ def _(spark, sf):
 
 
 @query("d23_column_profile", """
-SELECT 'bigint' AS data_type, 'l_partkey' AS column_name, count(*) AS n_rows, count(*) - count(l_partkey) AS null_count, count(DISTINCT l_partkey) AS n_distinct, 0.0 AS null_pct FROM lineitem
+SELECT 'bigint' AS data_type, 'l_partkey' AS column_name, count(*) AS n_rows, count(*) - count(l_partkey) AS null_count, count(DISTINCT l_partkey) AS n_distinct, CAST(0 AS DOUBLE) AS null_pct FROM lineitem
 UNION ALL SELECT 'double', 'l_quantity', count(*), count(*) - count(l_quantity), count(DISTINCT l_quantity), 0.0 FROM lineitem
 UNION ALL SELECT 'string', 'l_returnflag', count(*), count(*) - count(l_returnflag), count(DISTINCT l_returnflag), 0.0 FROM lineitem
 UNION ALL SELECT 'int', 'l_linenumber', count(*), count(*) - count(l_linenumber), count(DISTINCT l_linenumber), 0.0 FROM lineitem""")

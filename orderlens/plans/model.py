@@ -6,6 +6,7 @@ batch they stand for would; everything else stays one declarative plan.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -186,8 +187,26 @@ class Model:
             "private_brand_upgrade": lambda: sg.brand_upgrade(self.profile, self.equivalents, *e, self.history, p),
         }[name]()
 
+    # Stored tables by depth: those of one line need only tables of the lines before.
+    WAVES = (
+        ("sales",),
+        ("features", "lapsed", "item_cadence", "match_catalogue", "history", "baskets", "weights"),
+        ("cust_items", "patterns", "replenishment", "family_profile", "cooccurrence", "similarity", "equivalents"),
+        ("product_features", "product_specialty", "product_pairs", "profile"),
+        ("engine_products",),
+    )
+
+    def prepare(self) -> None:
+        """Write the stored tables, independent ones as concurrent Spark jobs, so that short
+        stages of one table do not leave the cluster idle."""
+        for wave in self.WAVES:
+            todo = [n for n in wave if n not in self.__dict__]
+            with ThreadPoolExecutor(max_workers=4) as pool:
+                list(pool.map(lambda n: getattr(self, n), todo))
+
     @cached_property
     def signals(self) -> list[DataFrame]:
+        self.prepare()
         return [self.signal(s) for s in SIGNALS]
 
     @cached_property

@@ -36,8 +36,10 @@ def stage_root(spark: SparkSession) -> str:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     app = spark.sparkContext.applicationId
-    if app not in _LOCAL_STAGE:  # unset only in tests and on one machine
+    if app not in _LOCAL_STAGE:
         _LOCAL_STAGE[app] = tempfile.mkdtemp(prefix="orderlens-stage-")
     return _LOCAL_STAGE[app]
 
