@@ -89,6 +89,11 @@ SELECT cust_id, m || '_' || size_tier AS segment, m AS market_clean, size_tier F
   SELECT cust_id, size_tier, CASE WHEN market IN ({words(d.MARKETS)}) THEN market ELSE 'OTHER' END AS m FROM v_features)""")
 
 
+def _base(spark, sf):
+    m = M(spark, sf)
+    return cu.rfm_base(m.sales, cu.family_spend(m.item_lines))
+
+
 @query("d1_specialty_stats", """
 SELECT specialty, unique_customers, unique_orders, total_revenue, pct_of_total_revenue, avg_revenue_per_order FROM v_spec_stats""")
 def _(spark, sf):
@@ -117,12 +122,12 @@ def _(spark, sf):
 @query("d4_rfm_base", """
 SELECT cust_id, last_order_date, frequency, monetary, n_categories_bought, avg_revenue_per_order, recency_days FROM v_rfm""")
 def _(spark, sf):
-    return cu.rfm_base(M(spark, sf).item_lines)
+    return _base(spark, sf)
 
 
 @query("d5_category_hhi", "SELECT cust_id, category_hhi FROM v_hhi")
 def _(spark, sf):
-    return cu.category_hhi(M(spark, sf).item_lines)
+    return cu.category_hhi(cu.family_spend(M(spark, sf).item_lines))
 
 
 @query("d6_order_gap_stats", "SELECT cust_id, avg_order_gap_days, cycle_regularity FROM v_gaps")
@@ -137,24 +142,24 @@ def _(spark, sf):
 
 @query("d8_r_score", "SELECT cust_id, recency_days, r_score FROM v_scores")
 def _(spark, sf):
-    return cu.r_score(cu.rfm_base(M(spark, sf).item_lines)).select("cust_id", "recency_days", "r_score")
+    return cu.r_score(_base(spark, sf)).select("cust_id", "recency_days", "r_score")
 
 
 @query("d9_f_and_m_score", "SELECT cust_id, f_score, m_score FROM v_scores")
 def _(spark, sf):
-    base = cu.rfm_base(M(spark, sf).item_lines)
+    base = _base(spark, sf)
     return rk.quantile_score(base, "frequency", "cust_id", "f_score").join(
         rk.quantile_score(base, "monetary", "cust_id", "m_score"), "cust_id").select("cust_id", "f_score", "m_score")
 
 
 @query("d10_rfm_score", "SELECT cust_id, rfm_score FROM v_scores")
 def _(spark, sf):
-    return cu.value_scores(cu.rfm_base(M(spark, sf).item_lines)).select("cust_id", "rfm_score")
+    return cu.value_scores(_base(spark, sf)).select("cust_id", "rfm_score")
 
 
 @query("d11_supplier_profile", "SELECT cust_id, pct_competitor, pct_private_brand, supplier_profile FROM v_supplier")
 def _(spark, sf):
-    return cu.supplier_profile(M(spark, sf).item_lines, d.COMPETITORS, SP)
+    return cu.supplier_profile(cu.family_spend(M(spark, sf).item_lines, d.COMPETITORS), SP)
 
 
 @query("d12_monthly_spend_volume", "SELECT * FROM v_monthly")

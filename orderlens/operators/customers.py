@@ -61,23 +61,34 @@ def tier3_fallback(stats: DataFrame) -> DataFrame:
 
 # ---- recency, frequency, value ----
 
-def rfm_base(merged: DataFrame) -> DataFrame:
-    # recency counts to the latest date of all lines, paid or not
-    latest = merged.agg(F.max("order_date").alias("d")).scalar()
-    out = merged.filter(_paid()).groupBy("cust_id").agg(
+def family_spend(item_lines: DataFrame, competitors: Sequence[str] = ()) -> DataFrame:
+    """Paid amounts per customer and family, in all, from competitors and of private brands.
+
+    Families, concentration and supplier profile all start here, so one shuffle serves them.
+    """
+    rival = F.col("supplier").isin(*competitors) if competitors else F.lit(False)
+    return item_lines.filter(_paid() & F.col("cust_id").isNotNull()).groupBy(
+        "cust_id", F.coalesce("family", F.lit("Unknown")).alias("family")).agg(
+        F.sum("amount").alias("s"), F.sum(F.when(rival, F.col("amount")).otherwise(0.0)).alias("c"),
+        F.sum(F.when(F.col("is_private_brand") == 1, F.col("amount")).otherwise(0.0)).alias("p"))
+
+
+def rfm_base(sales: DataFrame, spend: DataFrame) -> DataFrame:
+    """spend: rows of ``family_spend``. Recency counts to the latest date of all lines, paid or not."""
+    latest = sales.agg(F.max("order_date").alias("d")).scalar()
+    out = sales.filter(_paid()).groupBy("cust_id").agg(
         F.max("order_date").alias("last_order_date"),
         F.countDistinct("order_id").alias("frequency"),
-        F.round(F.sum("amount"), 2).alias("monetary"),
-        F.countDistinct(F.coalesce("family", F.lit("Unknown"))).alias("n_categories_bought"),
-        half_up(F.round(F.sum("amount"), 2) / F.countDistinct("order_id")).alias("avg_revenue_per_order"))
-    return out.withColumn("recency_days", F.greatest(F.datediff(latest, "last_order_date"), F.lit(0)))
+        F.round(F.sum("amount"), 2).alias("monetary"))
+    families = spend.groupBy("cust_id").agg(F.count(F.lit(1)).alias("n_categories_bought"))
+    return out.join(families, "cust_id").withColumns({
+        "avg_revenue_per_order": half_up(F.col("monetary") / F.col("frequency")),
+        "recency_days": F.greatest(F.datediff(latest, "last_order_date"), F.lit(0))})
 
 
-def category_hhi(merged: DataFrame) -> DataFrame:
-    by = merged.filter(_paid()).groupBy("cust_id", F.coalesce("family", F.lit("Unknown")).alias("family")).agg(
-        F.sum("amount").alias("s"))
+def category_hhi(spend: DataFrame) -> DataFrame:
     # sum(s^2) / total^2 equals the sum of squared shares
-    return by.groupBy("cust_id").agg(F.round(
+    return spend.groupBy("cust_id").agg(F.round(
         F.sum(F.col("s") * F.col("s")) / F.pow(F.greatest(F.sum("s"), F.lit(1.0)), 2), 4).alias("category_hhi"))
 
 
@@ -113,14 +124,10 @@ def value_scores(base: DataFrame) -> DataFrame:
     return out.withColumn("rfm_score", F.concat(*[F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")]))
 
 
-def supplier_profile(merged: DataFrame, competitors: Sequence[str], p: SupplierParams) -> DataFrame:
-    spend = merged.filter(_paid() & F.col("cust_id").isNotNull()).groupBy("cust_id").agg(
-        F.sum("amount").alias("t"),
-        F.sum(F.when(F.col("supplier").isin(*competitors), F.col("amount")).otherwise(0.0)).alias("c"),
-        F.sum(F.when(F.col("is_private_brand") == 1, F.col("amount")).otherwise(0.0)).alias("p"))
-    whole = F.greatest("t", F.lit(1.0))
-    out = spend.select("cust_id", F.round(F.col("c") / whole, 6).alias("pct_competitor"),
-                       F.round(F.col("p") / whole, 6).alias("pct_private_brand"))
+def supplier_profile(spend: DataFrame, p: SupplierParams) -> DataFrame:
+    whole = F.greatest(F.sum("s"), F.lit(1.0))
+    out = spend.groupBy("cust_id").agg(F.round(F.sum("c") / whole, 6).alias("pct_competitor"),
+                                       F.round(F.sum("p") / whole, 6).alias("pct_private_brand"))
     return out.withColumn("supplier_profile", F.when(F.col("pct_competitor") >= p.competitor_share, "competitor_only")
                           .when(F.col("pct_private_brand") >= p.private_share, "house_primary").otherwise("mixed"))
 
@@ -254,12 +261,12 @@ def label_distribution(df: DataFrame, column: str, meanings: Mapping) -> DataFra
 def customer_features(sales: DataFrame, item_lines: DataFrame, customers: DataFrame, competitors: Sequence[str],
                       size: SizeParams, supplier: SupplierParams) -> DataFrame:
     """All features; only the parts that need product attributes read the lines joined with items."""
-    base = rfm_base(item_lines)
-    return (value_scores(base)
-            .join(category_hhi(item_lines), "cust_id", "left")
+    spend = family_spend(item_lines, competitors)
+    return (value_scores(rfm_base(sales, spend))
+            .join(category_hhi(spend), "cust_id", "left")
             .join(order_gaps(sales), "cust_id", "left")
             .join(churn_labels(sales), "cust_id", "left")
-            .join(supplier_profile(item_lines, competitors, supplier), "cust_id", "left")
+            .join(supplier_profile(spend, supplier), "cust_id", "left")
             .join(size_stats(sales, size), "cust_id", "left")
             .join(customers.select("cust_id", "market", "specialty", "state", "cust_type", "cust_class"),
                   "cust_id", "left")
