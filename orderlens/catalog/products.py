@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import joins
 from ..operators import products as pr
 from ..params import SIZE_TIERS
 from ..plans import driver_tables as d
@@ -333,6 +334,10 @@ LEFT JOIN (SELECT item_id, market AS primary_market, n AS primary_market_buyers
   FROM (SELECT item_id, market, count(DISTINCT cust_id) AS n FROM v_merged WHERE amount > 0 AND market IS NOT NULL GROUP BY 1, 2)) WHERE rn = 1) USING (item_id)""")
 
 
+def _market_lines(m):
+    return joins.lines_for(m.sales, m.customers, m.items, ["market"])
+
+
 @query("h10_customer_ranking", "SELECT * FROM v_crank")
 def _(spark, sf):
     m = M(spark, sf)
@@ -341,7 +346,7 @@ def _(spark, sf):
 
 @query("h11_product_ranking", "SELECT * FROM v_prank")
 def _(spark, sf):
-    return pr.product_ranking(M(spark, sf).merged)
+    return pr.product_ranking(_market_lines(M(spark, sf)))
 
 
 @query("h12_rank_rollup_by_tier", f"""
@@ -359,4 +364,4 @@ SELECT family, count(*) AS n_products, CAST(sum(sales_count) AS BIGINT) AS total
 FROM v_prank JOIN v_items USING (item_id) GROUP BY 1""")
 def _(spark, sf):
     m = M(spark, sf)
-    return pr.family_rollup(pr.product_ranking(m.merged), m.items)
+    return pr.family_rollup(pr.product_ranking(_market_lines(m)), m.items)

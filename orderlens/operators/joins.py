@@ -25,6 +25,16 @@ def star_join(sales: DataFrame, customers: DataFrame, items: DataFrame,
             .withColumn("order_day", F.dayofmonth("order_date")))
 
 
+def lines_for(sales: DataFrame, customers: DataFrame, items: DataFrame, columns) -> DataFrame:
+    """Order lines joined with just the dimensions that own the wanted columns."""
+    out = sales
+    for dim, key, owned in ((customers, "cust_id", CUSTOMER_COLUMNS), (items, "item_id", ITEM_COLUMNS)):
+        wanted = [c for c in owned if c in columns and c != key]
+        if wanted:
+            out = out.join(dim.select(key, *wanted), key, "left")
+    return out.withColumn("order_year", F.year("order_date")).withColumn("order_month", F.month("order_date"))
+
+
 def with_items(sales: DataFrame, items: DataFrame) -> DataFrame:
     """Order lines with product attributes only, for operators that need nothing of the customer."""
     return sales.join(items.select(*[c for c in ITEM_COLUMNS if c in items.columns]), "item_id", "left")

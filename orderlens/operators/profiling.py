@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking as rk
 from ..functions.columns import flag, half_up
+from .joins import lines_for
 
 # merged lines carry is_return as 0/1; "sold" lines are those with 0
 
@@ -100,12 +101,13 @@ def returns_summary(merged: DataFrame) -> DataFrame:
         F.round(F.sum(F.abs("amount")), 2).alias("total_return_value"))
 
 
-def revenue_outliers(merged: DataFrame, q: float = 0.999, limit: int = 500) -> DataFrame:
-    """Lines above an exact quantile of line revenue, largest first."""
-    lines = sold(merged).filter(F.col("amount").isNotNull())
+def revenue_outliers(sales: DataFrame, customers: DataFrame, items: DataFrame, q: float = 0.999,
+                     limit: int = 500) -> DataFrame:
+    """Lines above an exact quantile of line revenue, largest first; only those meet the dimensions."""
+    lines = sold(sales).filter(F.col("amount").isNotNull())
     threshold = rk.exact_quantiles(lines.select("amount"), "amount", {"t": q}).scalar()
-    return lines.filter(F.col("amount") > threshold).orderBy(
-        F.desc("amount"), "order_id", "line_no").limit(limit).select(
+    top = lines.filter(F.col("amount") > threshold).orderBy(F.desc("amount"), "order_id", "line_no").limit(limit)
+    return lines_for(top, customers, items, ("item_dsc", "cust_type", "specialty")).select(
         "fy", "order_id", "line_no", "item_dsc", "cust_type", "specialty", "qty", "amount", "order_date")
 
 
