@@ -53,29 +53,27 @@ def blocks(rows: DataFrame, n_rows: int, size: int) -> DataFrame:
 
 
 def postings(weights: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
-    """For each term the rows that hold it (None: all rows) and their weights."""
+    """For each term the rows that hold it and their weights; None for the rows of a frequent term, kept densely."""
     out = []
     for t in range(weights.shape[1]):
         column = weights[:, t]
         ids = np.flatnonzero(column)
-        out.append((None, column.copy()) if len(ids) == len(column) else (ids, column[ids]))
+        out.append((None, column.copy()) if 4 * len(ids) >= len(column) else (ids, column[ids]))
     return out
 
 
 def accumulate(queries: np.ndarray, lists: list[tuple[np.ndarray | None, np.ndarray]], n: int) -> np.ndarray:
     """Dense scores, a row for each query, term by term."""
     scores = np.zeros((len(queries), n), queries.dtype)
+    held = np.empty(n, queries.dtype)
     for t, (ids, weights) in enumerate(lists[:queries.shape[1]]):
-        asks = np.flatnonzero(queries[:, t])
-        if not len(asks) or not len(weights):
+        if not len(weights):
             continue
-        part = np.multiply.outer(queries[asks, t], weights)
-        if ids is None and len(asks) == len(queries):
-            scores += part
-        elif ids is None:
-            scores[asks] += part
-        else:
-            scores[np.ix_(asks, ids)] += part
+        for row in np.flatnonzero(queries[:, t]):
+            if ids is None:
+                scores[row] += np.multiply(weights, queries[row, t], out=held)
+            else:
+                scores[row, ids] += weights * queries[row, t]
     return scores
 
 
