@@ -6,8 +6,8 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, topk, url_filter
-from .common import table
+from . import packing, quality, topk, toxicity, url_filter
+from .common import in_fold, table
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 #: Verdict, host, path of the listed URLs.
@@ -34,6 +34,23 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _scored(docs: DataFrame, model, held_out) -> DataFrame:
+    return (docs.select("doc_id", held_out.alias("held_out"), model.score(F.col("text")).alias("score"))
+            .withColumn("predicted", (F.col("score") >= 0.3).cast("int")))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold("doc_id", 5, 0)
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return _scored(docs, model, held_out)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold("doc_id", 4, 2)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return _scored(docs, model, held_out)
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
@@ -70,5 +87,5 @@ b AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM b WHERE n = 1
 """
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_exact_top_k, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_exact_top_k, op6_toxicity, op8_url_filter)}
 ORACLES = {"op4_exact_top_k": OP4_SQL, "op8_url_filter": OP8_SQL}
