@@ -6,7 +6,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, quality, topk, toxicity, url_filter
+from . import minhash, packing, pivots, quality, topk, toxicity, url_filter
 from .common import in_fold, table
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -51,6 +51,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, model, held_out)
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
@@ -87,5 +95,6 @@ b AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM b WHERE n = 1
 """
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_exact_top_k, op6_toxicity, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_minhash_dedup, op4_exact_top_k, op6_toxicity, op8_url_filter,
+                                      op9_embedding_dedup)}
 ORACLES = {"op4_exact_top_k": OP4_SQL, "op8_url_filter": OP8_SQL}
