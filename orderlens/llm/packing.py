@@ -20,6 +20,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,15 @@ class WordTokens(dict):
         return [out[slice(*next(spans))].tobytes() if p else self.whole(t) for t, p in zip(texts, plain)]
 
 
+@cache
+def word_tokens(path: str | None = None) -> WordTokens:
+    """One tokenizer and word cache for all tasks of a Python worker; by default the public 49k-word vocabulary."""
+    if path is None:
+        import public_tokenizers
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return WordTokens(path)
+
+
 @dataclass
 class Example:
     doc_id: int | None

@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, packing, pivots, quality, topk, toxicity, url_filter
+import corpus_pipeline
+
+from . import minhash, mixing, packing, pivots, quality, secret_scan, topk, toxicity, url_filter
 from .common import in_fold, table
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 #: Verdict, host, path of the listed URLs.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
-@cache
-def _word_tokens(path: str) -> packing.WordTokens:
-    """One tokenizer and word cache for all tasks of a Python worker."""
-    return packing.WordTokens(path)
-
-
-def tokenizer_path() -> str:
-    try:
-        import public_tokenizers
-    except ImportError:
-        return TOKENIZER
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(table(spark, sf_dir, "documents"), lambda: _word_tokens(tokenizer_path()))
+    packed = packing.pack(table(spark, sf_dir, "documents"), packing.word_tokens)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -55,6 +40,17 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), "first_at",
+                        "times", "score", "secret")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc.doc_id", "source", "block", "release", "slot", "deadline", "block_offset")
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -95,6 +91,36 @@ b AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM b WHERE n = 1
 """
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_minhash_dedup, op4_exact_top_k, op6_toxicity, op8_url_filter,
-                                      op9_embedding_dedup)}
-ORACLES = {"op4_exact_top_k": OP4_SQL, "op8_url_filter": OP8_SQL}
+OP7_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+         coalesce(length(text), 0) AS size FROM documents),
+t AS (SELECT source, sqrt(sum(size)) AS weight FROM d GROUP BY 1),
+n AS (SELECT CAST(greatest(720, 4 * count(*)) AS BIGINT) AS cycle FROM t),
+a AS (SELECT source, cycle - count(*) OVER () AS spare, (cycle - count(*) OVER ()) * weight / sum(weight) OVER () AS due FROM t, n),
+b AS (SELECT *, spare - sum(floor(due)) OVER () AS extra, row_number() OVER (ORDER BY due - floor(due) DESC, source) AS r FROM a),
+p AS (SELECT source, CAST(floor(due) + 1 + CASE WHEN r <= extra THEN 1 ELSE 0 END AS BIGINT) AS parts,
+             row_number() OVER (ORDER BY source) AS i FROM b),
+l AS (SELECT list(parts ORDER BY i) AS parts, any_value(cycle) AS cycle FROM p, n),
+e AS (
+  SELECT CAST(-1 AS BIGINT) AS t, list_transform(parts, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM l
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda x, j: x + CASE WHEN j = k THEN 1 ELSE 0 END), k FROM (
+    SELECT t, done, cycle, list_min(list_transform(done, lambda x, j: CASE
+      WHEN x * cycle // parts[j] <= t + 1 THEN ((x + 1) * cycle + parts[j] - 1) // parts[j] * 100000 + j
+      ELSE 1000000000000000 END)) % 100000 AS k FROM e, l) WHERE t + 1 < cycle),
+s AS (SELECT source, parts, t AS place, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM e JOIN p ON i = pick WHERE t >= 0),
+f AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+g AS (SELECT f.*, CAST(before // 64000 AS BIGINT) AS block FROM f)
+SELECT doc_id, g.source, block, block // parts * cycle + turn * cycle // parts AS release, block // parts * cycle + place AS slot,
+       block // parts * cycle + ((turn + 1) * cycle + parts - 1) // parts AS deadline, CAST(before % 64000 AS BIGINT) AS block_offset
+FROM g JOIN s ON s.source = g.source AND s.turn = block % parts, n
+"""
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_minhash_dedup, op4_exact_top_k, op5_secret_scan, op6_toxicity,
+                                   op7_mixing, op8_url_filter, op9_embedding_dedup)}
+QUERIES["pipeline"] = corpus_pipeline.run
+ORACLES = {"op4_exact_top_k": OP4_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
