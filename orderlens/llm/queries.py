@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import minhash, mixing, packing, pivots, quality, secret_scan, topk, toxicity, url_filter
+from . import bwt_dedup, minhash, mixing, packing, pivots, quality, secret_scan, topk, toxicity, url_filter
 from .common import in_fold, table
 
 #: Verdict, host, path of the listed URLs.
@@ -64,6 +64,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = bwt_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP4_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
@@ -119,7 +124,7 @@ FROM g JOIN s ON s.source = g.source AND s.turn = block % parts, n
 """
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_minhash_dedup, op4_exact_top_k, op5_secret_scan, op6_toxicity,
-                                   op7_mixing, op8_url_filter, op9_embedding_dedup)}
+                                   op7_mixing, op8_url_filter, op9_embedding_dedup, op10_suffix_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op4_exact_top_k": OP4_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
 if corpus_pipeline.ORACLE_SQL:
