@@ -174,9 +174,9 @@ r AS (SELECT co.*, sz.n AS n, x.n AS na, y.n AS nb FROM co JOIN sz USING (segmen
 f AS (SELECT *, round((co / n) / ((na / n) * (nb / n)), 4) AS lift FROM r
   WHERE co / n >= {FR.min_support} AND greatest(co / na, co / nb) >= {FR.min_confidence})
 SELECT segment, category_a, category_b, co AS co_occurrence, n AS n_segment_custs, round(co / na, 4) AS confidence_a_b, round(co / nb, 4) AS confidence_b_a,
-  lift, round(co / n, 4) AS support, CAST(CAST(round(greatest(co / na, co / nb) * 100, 0) AS INTEGER) AS VARCHAR) || '% of customers who buy '
-  || CASE WHEN na <= nb THEN category_a ELSE category_b END || ' also buy ' || CASE WHEN na <= nb THEN category_b ELSE category_a END
-  || ' within {FR.window_days} days. Cross-sell pitch: suggest ' || CASE WHEN na <= nb THEN category_b ELSE category_a END || ' at same visit.' AS seller_action, rule_rank
+  lift, round(co / n, 4) AS support, 'Offer ' || CASE WHEN na <= nb THEN category_b ELSE category_a END || ' with '
+  || CASE WHEN na <= nb THEN category_a ELSE category_b END || ': ' || CAST(CAST(round(greatest(co / na, co / nb) * 100, 0) AS INTEGER) AS VARCHAR)
+  || '% of its buyers take both inside {FR.window_days} days.' AS seller_action, rule_rank
 FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY lift DESC, category_a, category_b) AS rule_rank FROM f WHERE lift > 1) WHERE rule_rank <= {FR.top_rules}""")
 def _(spark, sf):
     return bh.family_cooccurrence_rules(M(spark, sf).family_firsts, FR)
@@ -189,7 +189,8 @@ c AS (SELECT segment, family AS from_category, nxt AS to_category, count(*) AS t
   FROM st WHERE nxt IS NOT NULL GROUP BY 1, 2, 3),
 k AS (SELECT segment, from_category, to_category, transition_count, n AS n_segment_custs, round(transition_count / f, 4) AS transition_prob,
   round(transition_count / n, 4) AS support FROM c JOIN sz USING (segment) WHERE transition_count / n >= {FR.min_support} AND transition_count / f >= {FR.min_confidence})
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY transition_prob DESC, from_category, to_category) AS seq_rank FROM k) WHERE seq_rank <= {FR.top_sequences}""")
+SELECT *, 'After a first order of ' || from_category || ' show ' || to_category || ': ' || CAST(CAST(round(transition_prob * 100, 0) AS INTEGER) AS VARCHAR) || '% go there next.' AS seller_action
+FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY transition_prob DESC, from_category, to_category) AS seq_rank FROM k) WHERE seq_rank <= {FR.top_sequences}""")
 def _(spark, sf):
     return bh.family_transitions(M(spark, sf).family_firsts, FR)
 

@@ -140,14 +140,11 @@ def _(spark, sf):
 
 
 @query("c8_composite_key_join", """
-SELECT a.item_id AS original_item, b.item_id AS equivalent_item FROM v_catalogue a JOIN v_catalogue b ON a.matching_category = b.matching_category
-  AND a.family = b.family AND a.product_type = b.product_type AND a.form_code = b.form_code
-WHERE a.is_private_brand = 0 AND a.is_competitor = 0 AND b.is_private_brand = 1 AND b.is_competitor = 0
-  AND b.median_unit_price BETWEEN a.median_unit_price * 0.7 AND a.median_unit_price""")
+SELECT a.item_id AS original_item, count(*) AS n_equivalents, min(b.median_unit_price) AS cheapest_price FROM v_catalogue a JOIN v_catalogue b
+  ON a.matching_category = b.matching_category AND a.family = b.family AND a.product_type = b.product_type AND a.form_code = b.form_code
+WHERE a.is_private_brand = 0 AND a.is_competitor = 0 AND b.is_private_brand = 1 AND b.is_competitor = 0 GROUP BY 1""")
 def _(spark, sf):
-    from dataclasses import replace
-    wide = replace(P, max_equivalents=1_000_000, min_buyers=0)
-    return pa.brand_upgrades(M(spark, sf).match_catalogue, wide).select("original_item", "equivalent_item")
+    return pa.key_matches(M(spark, sf).match_catalogue)
 
 
 @query("h8_competitor_conversions", "SELECT original_item, equivalent_item, rank, price_delta_pct, score FROM v_conversions")

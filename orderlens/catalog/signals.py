@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.skew import salted_join
 from ..operators import combine as cb
 from ..operators import signals as sg
 from ..params import BACKFILL_SIGNALS, SIGNAL_PURPOSE, SIGNAL_QUOTA, SIGNALS, SIZE_TIERS
@@ -121,15 +122,15 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cust_id ORDER BY normal
 _PCT = "CAST(CAST(round(peer_adoption_rate * 100, 0) AS INTEGER) AS VARCHAR)"
 cte("v_recs", f"""
 SELECT r.cust_id, r.item_id, item_dsc, family, category, rank, primary_signal, {_PUR} AS rec_purpose, is_private_brand AS is_house_brand,
-  CASE primary_signal WHEN 'peer_gap' THEN {_PCT} || '% of ' || segment || ' peers buy ' || family || ' products. You don''t currently.'
-    WHEN 'popularity' THEN 'Popular among ' || segment || ' peers (' || format('{{:,}}', n_buyers) || ' buyers). A safe starting point while we learn your patterns.'
-    WHEN 'cart_complement' THEN 'Customers who buy your products also buy this. Common pairing in ' || family || '.'
-    WHEN 'item_similarity' THEN 'Similar to products you already buy. Customers like you tend to use this ' || family || ' item.'
-    WHEN 'lapsed_recovery' THEN 'You bought this before but not in 6+ months. Win-back opportunity in ' || family || '.'
-    WHEN 'replenishment' THEN 'You usually order this but haven''t recently. ' || {_PCT} || '% of peers in your segment still order it on a regular cadence. Likely due for reorder.'
-    WHEN 'competitor_conversion' THEN 'You currently buy a competitor product. House Brand alternative in ' || family || ' offers comparable function.'
-    ELSE 'House Brand alternative to a national brand you buy. Same form, same category, often cheaper.' END
-  || CASE specialty_match WHEN 'match' THEN ' Aligns with your specialty (' || specialty || ').' WHEN 'mismatch' THEN ' (Note: may not fit your specialty)' ELSE '' END AS pitch_reason,
+  CASE primary_signal WHEN 'peer_gap' THEN family || ' is missing from the orders, while ' || {_PCT} || '% of ' || segment || ' accounts order it.'
+    WHEN 'popularity' THEN 'Best seller for ' || segment || ' accounts: ' || format('{{:,}}', n_buyers) || ' of them order it, which suits a new account.'
+    WHEN 'cart_complement' THEN 'Often in one basket with items of this account, from ' || family || '.'
+    WHEN 'item_similarity' THEN 'Bought by the same accounts as items in the order history, from ' || family || '.'
+    WHEN 'lapsed_recovery' THEN 'Ordered earlier, not in the last half year, from ' || family || '.'
+    WHEN 'replenishment' THEN 'Next order is overdue by the account''s rhythm; ' || {_PCT} || '% of comparable accounts still reorder it.'
+    WHEN 'competitor_conversion' THEN 'House Brand counterpart of a competitor item in the history, from ' || family || '.'
+    ELSE 'House Brand counterpart of a branded item in the history, at the same price or less.' END
+  || CASE specialty_match WHEN 'match' THEN ' Fits ' || specialty || '.' WHEN 'mismatch' THEN ' Mostly ordered by other specialties.' ELSE '' END AS pitch_reason,
   confidence_tier, numeric_score, normalized_score, peer_adoption_rate, specialty_match, median_unit_price, median_purchases_per_buyer_per_year, is_private_brand,
   segment, size_tier, market_clean, specialty, CASE WHEN primary_signal = 'popularity' THEN 0 ELSE is_declining END AS is_declining,
   CASE WHEN primary_signal = 'popularity' THEN 0 ELSE is_churned END AS is_churned,
@@ -181,7 +182,8 @@ def _(spark, sf):
     m = M(spark, sf)
     fam = m.family_profile.filter(F.col("adoption_rate") >= E.peer_adoption).select("segment", "family")
     per = fam.join(sg.family_pool(m.engine_products, E.family_pool).select("family", "item_id"), "family")
-    return m.profile.select("cust_id", "segment").join(per, "segment").groupBy("cust_id").agg(F.count(F.lit(1)).alias("n_candidates"))
+    fan = salted_join(m.profile.select("cust_id", "segment"), per, ["segment"], ["cust_id"])
+    return fan.groupBy("cust_id").agg(F.count(F.lit(1)).alias("n_candidates"))
 
 
 def _signal_query(number, name):

@@ -1,4 +1,9 @@
-"""Carts, assignments and rejections folded from the event log."""
+"""Carts, assignments and rejections folded from the event log.
+
+Event types stand for the actions of a cart log: click = add, purchase = sold, error = not_sold, view = shown (which
+leaves a cart as it is). The table has no type for the two remaining actions; signup stands for set_quantity,
+or delete where the event id is odd. Every event is in the log.
+"""
 
 from pyspark.sql import functions as F
 
@@ -7,8 +12,9 @@ from ..plans import driver_tables as d
 from .registry import cte, query
 
 cte("v_log", """
-SELECT *, CASE event_type WHEN 'click' THEN 'add' WHEN 'signup' THEN 'set_quantity' WHEN 'purchase' THEN 'sold' WHEN 'error' THEN 'not_sold' ELSE 'delete' END AS action
-FROM v_events WHERE event_type <> 'view' OR event_id % 4 = 0""")
+SELECT *, CASE event_type WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'sold' WHEN 'error' THEN 'not_sold'
+  WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'set_quantity' ELSE 'delete' END ELSE 'shown' END AS action
+FROM v_events""")
 cte("v_cart", """
 SELECT * FROM (SELECT cart_item_id, cust_id, item_id, CAST(CASE WHEN setq IS NULL THEN adds ELSE setq + adds_after END AS INTEGER) AS quantity, unit_price, source, seller_id,
   added_at, coalesce(closing, 'in_cart') AS status, resolved_at FROM (
@@ -38,9 +44,10 @@ SELECT cust_id, s AS seller_id, a AS assigned_at FROM (SELECT cust_id, last(new_
 
 
 def cart_log(events):
-    action = (F.when(F.col("event_type") == "click", "add").when(F.col("event_type") == "signup", "set_quantity")
-              .when(F.col("event_type") == "purchase", "sold").when(F.col("event_type") == "error", "not_sold").otherwise("delete"))
-    return events.filter("event_type <> 'view' OR event_id % 4 = 0").withColumn("action", action)
+    changed = F.when(F.col("event_id") % 2 == 0, "set_quantity").otherwise("delete")
+    action = (F.when(F.col("event_type") == "click", "add").when(F.col("event_type") == "purchase", "sold")
+              .when(F.col("event_type") == "error", "not_sold").when(F.col("event_type") == "signup", changed).otherwise("shown"))
+    return events.withColumn("action", action)
 
 
 def cart(spark, sf):

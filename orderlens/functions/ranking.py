@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .columns import half_up
+from .skew import salted_join
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k, rank: str = "rank") -> DataFrame:
@@ -97,7 +98,8 @@ def average_rank_pct(df: DataFrame, value: str, keys: Sequence[str] = (), out: s
     """Average-rank percentile: (rank + (ties - 1) / 2) / n."""
     ranks = value_ranks(df.filter(F.col(value).isNotNull()), value, keys)
     pct = (F.col("n_smaller") + (F.col("n_equal") + 1) / 2) / F.col("n_total")
-    return df.join(ranks.select(*keys, value, pct.alias(out)), [*keys, value], "left")
+    # few distinct scores may hold most rows
+    return salted_join(df, ranks.select(*keys, value, pct.alias(out)), [*keys, value], df.columns, "left")
 
 
 def min_ranks(df: DataFrame, ranks: dict[str, str], descending: bool = True) -> DataFrame:
@@ -110,7 +112,7 @@ def min_ranks(df: DataFrame, ranks: dict[str, str], descending: bool = True) ->
         found = value_ranks(df.select(value), value)
         r = (F.col("n_total") - F.col("n_smaller") - F.col("n_equal") + 1 if descending
              else F.col("n_smaller") + 1)
-        out = out.join(found.select(value, r.alias(name)), value)
+        out = salted_join(out, found.select(value, r.alias(name)), [value], df.columns)
     return out
 
 

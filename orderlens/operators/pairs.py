@@ -2,8 +2,8 @@
 
 Self-joins inside a basket or a customer are the heavy part. Three rules keep them flat:
 only items that can still qualify enter; a group is cut into blocks of items, so its pairs
-are made by many tasks; and the widest groups never enumerate their pairs at all, because a
-qualifying pair must already be a candidate elsewhere (or pass an exact bound).
+are made by many tasks; and the widest groups list only pairs that an exact bound allows, as
+their part of other pairs is looked up for the candidates found elsewhere.
 """
 
 from __future__ import annotations
@@ -147,37 +147,37 @@ def centred_weights(cust_items: DataFrame, min_buyers: int) -> DataFrame:
 def item_similarity(weights: DataFrame, p: PairParams) -> DataFrame:
     """Cosine of every item pair at or above the minimum; weights: stored unit vectors.
 
-    Customers with very many items stay out of the self-join. What they add to a pair is looked
-    up for the pairs found without them; a pair only they share can reach the minimum
-    only if the lengths of both items' parts in those customers multiply to it.
+    Customers with very many items stay out of the self-join of all items. What they add to a pair is
+    at most the product of the lengths of both items' parts in those customers, so only pairs that can still
+    reach the minimum with that are kept and looked up, and only items whose lengths multiply to it pair up
+    inside those customers. The result does not depend on ``wide_basket``.
     """
+    floor = p.min_similarity - 6e-7  # results are compared after rounding to 6 digits
     w = weights.filter(F.abs("x") > 1e-12)  # an entry at its customer's mean adds nothing
     sizes = w.groupBy("cust_id").agg(F.count(F.lit(1)).alias("_n"))
     wide = sizes.filter(F.col("_n") > p.wide_basket).select("cust_id")
-
-    def dots(rows):
-        return half_pairs(rows, "cust_id", sizes, ["x"]).groupBy("item_a", "item_b").agg(
-            F.sum(F.col("x_a") * F.col("x_b")).alias("dot"))
-
-    if not wide.head(1):
-        found = dots(w)
-    else:
-        normal = stage(dots(w.join(wide, "cust_id", "left_anti")), "normal_dots")
-        hot = w.join(wide, "cust_id", "left_semi")
-        part = hot.groupBy("item_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("h")).filter(
-            F.col("h") >= p.min_similarity - 1e-9)
-        extra = (normal.select("item_a", "item_b")
-                 .join(hot.select("cust_id", F.col("item_id").alias("item_a"), F.col("x").alias("xa")), "item_a")
-                 .join(hot.select("cust_id", F.col("item_id").alias("item_b"), F.col("x").alias("xb")), ["cust_id", "item_b"])
-                 .groupBy("item_a", "item_b").agg(F.sum(F.col("xa") * F.col("xb")).alias("more")))
-        both = normal.join(extra, ["item_a", "item_b"], "left").select(
-            "item_a", "item_b", (F.col("dot") + F.coalesce("more", F.lit(0.0))).alias("dot"))
-        strong = hot.join(part, "item_id")
-        only_hot = half_pairs(strong, "cust_id", sizes, ["x", "h"]).filter(
-            F.col("h_a") * F.col("h_b") >= p.min_similarity - 1e-9).groupBy("item_a", "item_b").agg(
-            F.sum(F.col("x_a") * F.col("x_b")).alias("dot")).join(
-            normal.select("item_a", "item_b"), ["item_a", "item_b"], "left_anti")
-        found = both.unionByName(only_hot)
+    hot = w.join(wide, "cust_id", "left_semi")
+    part = hot.groupBy("item_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("h"))
+    side = lambda end: part.select(F.col("item_id").alias(f"item_{end}"), F.col("h").alias(f"h_{end}"))
+    bound = F.coalesce("h_a", F.lit(0.0)) * F.coalesce("h_b", F.lit(0.0))
+    dots = half_pairs(w.join(wide, "cust_id", "left_anti"), "cust_id", sizes, ["x"]).groupBy("item_a", "item_b").agg(
+        F.sum(F.col("x_a") * F.col("x_b")).alias("dot"))
+    # with a negative dot a pair may fall short, but must not come back as one that only wide customers share
+    seen = stage(dots.join(side("a"), "item_a", "left").join(side("b"), "item_b", "left")
+                 .withColumn("bound", bound).filter(F.greatest("dot", F.lit(0.0)) + F.col("bound") >= floor)
+                 .select("item_a", "item_b", "dot", "bound"), "similar_candidates")
+    extra = (seen.filter((F.col("bound") > 0) & (F.col("dot") + F.col("bound") >= floor)).select("item_a", "item_b")
+             .join(hot.select("cust_id", F.col("item_id").alias("item_a"), F.col("x").alias("xa")), "item_a")
+             .join(hot.select("cust_id", F.col("item_id").alias("item_b"), F.col("x").alias("xb")), ["cust_id", "item_b"])
+             .groupBy("item_a", "item_b").agg(F.sum(F.col("xa") * F.col("xb")).alias("more")))
+    both = seen.join(extra, ["item_a", "item_b"], "left").select(
+        "item_a", "item_b", (F.col("dot") + F.coalesce("more", F.lit(0.0))).alias("dot"))
+    strong = hot.join(part.filter(F.col("h") >= floor), "item_id")
+    only_hot = half_pairs(strong, "cust_id", sizes, ["x", "h"]).filter(
+        F.col("h_a") * F.col("h_b") >= floor).groupBy("item_a", "item_b").agg(
+        F.sum(F.col("x_a") * F.col("x_b")).alias("dot")).join(
+        seen.select("item_a", "item_b"), ["item_a", "item_b"], "left_anti")
+    found = both.unionByName(only_hot)
     return found.select("item_a", "item_b", F.round("dot", 6).alias("similarity")).filter(
         F.col("similarity") >= p.min_similarity)
 
@@ -202,6 +202,19 @@ def match_catalogue(parsed: DataFrame, economics: DataFrame) -> DataFrame:
     return parsed.join(economics, "item_id").filter("is_excluded_family = 0 AND is_discontinued = 0")
 
 
+def key_matches(catalogue: DataFrame) -> DataFrame:
+    """For each national item: how many private-brand items have its keys, and the cheapest price among them.
+
+    An aggregate over the many-to-many join of both sides; one side is summed up per key before it, so a
+    large category costs its items and not their pairs.
+    """
+    own = catalogue.filter("is_competitor = 0")
+    private = own.filter("is_private_brand = 1").groupBy(*MATCH_KEYS).agg(
+        F.count(F.lit(1)).alias("n_equivalents"), F.min("median_unit_price").alias("cheapest_price"))
+    return own.filter("is_private_brand = 0").join(private, MATCH_KEYS).select(
+        F.col("item_id").alias("original_item"), "n_equivalents", "cheapest_price")
+
+
 def _delta() -> Column:
     return F.round(F.coalesce(F.try_divide(F.col("equivalent_price") - F.col("original_price"),
                                            F.nullif("original_price", F.lit(0.0))), F.lit(0.0)), 6)

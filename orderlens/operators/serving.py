@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranking as rk
@@ -188,4 +188,4 @@ def recs_by_variant(recs: DataFrame, keys: DataFrame) -> DataFrame:
     by = recs.select("cust_id", "item_id", "rank").join(keys.select("item_id", "group_key"), "item_id").groupBy(
         "cust_id", "group_key").agg(F.min("rank").alias("lead_rank"), F.min_by("item_id", "rank").alias("lead_item"),
                                     F.count(F.lit(1)).alias("n_variants"))
-    return rk.top_k(by, ["cust_id"], ["lead_rank"], 100, "position")  # at most ten groups exist
+    return by.withColumn("position", F.row_number().over(Window.partitionBy("cust_id").orderBy("lead_rank", "group_key")))

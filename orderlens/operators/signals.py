@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking as rk
 from ..functions.columns import clip, half_up
+from ..functions.skew import salted_join
 from ..params import EngineParams
 
 OUTPUT = ("cust_id", "item_id", "primary_signal", "confidence_tier", "numeric_score",
@@ -56,9 +57,8 @@ def drop_bought(candidates: DataFrame, history: DataFrame) -> DataFrame:
 def with_own_items(customers: DataFrame, history: DataFrame, pool: DataFrame) -> DataFrame:
     """Customers with the pool items they already buy as an array.
 
-    The pool is a fixed number of items, so the array is bounded. It lets a fan-out of
-    customers over the pool drop bought items in place: the candidates keep the
-    customer partitioning and are cut to the best k without ever being shuffled.
+    The pool has a fixed number of items of every family, so the array is bounded by the catalogue and by
+    what a customer has bought. It lets a fan-out of customers over the pool drop bought items in place.
     """
     own = history.select("cust_id", "item_id").join(pool.select("item_id"), "item_id", "left_semi").groupBy("cust_id").agg(
         F.collect_list("item_id").alias("own"))
@@ -125,7 +125,7 @@ def peer_gap(profile: DataFrame, family_profile: DataFrame, products: DataFrame,
     # segment x family x product is catalogue-sized; customers meet it once, on the segment
     offers = families.join(pool, "family").drop("family")
     warm = with_own_items(profile.filter("is_cold_start = 0").select(*_PROFILE), history, pool)
-    c = specialty_match(warm.join(offers, "segment").filter(affordable(p) & not_own()).drop("own"), specialty, p)
+    c = specialty_match(salted_join(warm, offers, ["segment"], ["cust_id"]).filter(affordable(p) & not_own()).drop("own"), specialty, p)
     return _finish(c, "peer_gap", F.col("adoption_rate") * F.log1p("n_buyers") * F.col("mult"), _private(0.5), _dec(0.3), 0.0,
                    _tier((F.col("specialty_match") == "match") & (F.col("adoption_rate") >= 0.5)), p.per_signal,
                    F.col("adoption_rate"))
@@ -167,7 +167,7 @@ def popularity_recs(profile: DataFrame, products: DataFrame, specialty: DataFram
     pool = cold_start_pool(cold.select("market_clean", "size_tier").distinct(), products, markets, sizes, p)
     offers = pool.join(products.select(*_PRODUCT), "item_id")
     cold = with_own_items(cold, history, pool.select("item_id").distinct())
-    c = cold.join(offers, ["market_clean", "size_tier"]).filter(affordable(p) & not_own()).drop("own")
+    c = salted_join(cold, offers, ["market_clean", "size_tier"], ["cust_id"]).filter(affordable(p) & not_own()).drop("own")
     c = specialty_match(c, specialty, p)
     match = F.when(F.col("specialty_match") == "match", 0.5).otherwise(0.0)
     return _finish(c, "popularity", F.col("popularity_score"), _private(0.3), match, 0.0, F.lit("medium"), p.per_signal)

@@ -24,15 +24,14 @@ CLEANING = CleaningParams(blocked_orders=("7", "77", "777"), line_cap=100_000.0,
 SIZE = SizeParams(spend=(120_000.0, 150_000.0, 190_000.0), volume=(60.0, 75.0, 95.0),
                   min_active_months=1)
 SUPPLIER = SupplierParams(competitor_share=0.3, private_share=0.3)
-PATTERNS = PatternParams(frequent_days=150, regular_days=300, alive_rate=0.10, cold_products=20)
+PATTERNS = PatternParams(frequent_days=150, regular_days=300, alive_rate=0.10)
 # item grain in the top-10 flow: repeats are rare, so one repeat buyer counts
-PATTERNS_ITEM = PatternParams(frequent_days=150, regular_days=300, alive_rate=0.10, cold_products=20,
+PATTERNS_ITEM = PatternParams(frequent_days=150, regular_days=300, alive_rate=0.10,
                               segment_buyers=1, segment_repeat=1)
 FAMILY_RULES = FamilyRuleParams(min_segment=10, window_days=2000)
 PAIRS = PairParams(min_buyers=20, min_together=2, min_support=0.00001)
 PRODUCTS = ProductParams(min_buyers=20)
-ENGINE = EngineParams(min_buyers=20, universal_hhi=0.07, market_share=0.30, size_share=0.25,
-                      peer_adoption=0.90, family_pool=20)
+ENGINE = EngineParams(min_buyers=20, market_share=0.30, size_share=0.25)
 EVAL = EvalParams()
 
 

@@ -82,6 +82,26 @@ def test_similarity(spark, wide, monkeypatch):
     assert all(abs(got[k] - want[k]) < 2e-5 for k in want)
 
 
+def test_similarity_does_not_depend_on_the_switch(spark):
+    # a pair whose cosine is under the minimum by less than rounding, shared by wide and narrow customers
+    r = random.Random(3)
+    rows = [(0, i, r.randint(1, 9)) for i in range(60)] + [(c, i, r.randint(1, 9)) for c in range(1, 200) for i in r.sample(range(60), 2)]
+    w = pa.centred_weights(spark.createDataFrame(rows, "cust_id long, item_id long, line_count long"), 1).cache()
+    unit = defaultdict(dict)
+    for x in w.collect():
+        unit[x.item_id][x.cust_id] = x.x
+    dots = sorted(sum(x * unit[b].get(c, 0.0) for c, x in unit[a].items()) for a, b in combinations(sorted(unit), 2))
+    low = next(d for d in dots if d > 0.05 and round(d, 6) > d + 5e-8)  # rounds up to the minimum
+    found = [{(x.item_a, x.item_b, x.similarity) for x in pa.item_similarity(
+        w, replace(PairParams(), min_similarity=round(low, 6), wide_basket=n)).collect()} for n in (1, 50, 10**9)]
+    assert found[0] == found[1] == found[2] and min(s for _, _, s in found[0]) == round(low, 6)
+
+
+def test_key_matches_count_the_join(spark):
+    df = catalogue(spark, [(1, 10.0, 60, 0, 0), (2, 9.0, 1, 0, 0), (3, 5.0, 60, 1, 0), (4, 4.0, 60, 1, 0), (5, 1.0, 60, 1, 1)])
+    assert {tuple(x) for x in pa.key_matches(df).collect()} == {(1, 2, 4.0), (2, 2, 4.0)}
+
+
 def catalogue(spark, rows):
     cols = ("item_id long, median_unit_price double, n_buyers long, is_private_brand int, is_competitor int, item_dsc string, "
             "supplier string, family string, matching_category string, product_type string, form_code string")
