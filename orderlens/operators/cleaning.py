@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import flag, half_up
+from ..functions.distinct import with_distinct_counts
 from ..functions.ranking import first_per_key
 from ..params import CleaningParams
 
@@ -70,9 +71,8 @@ def null_zip_audit(customers: DataFrame, raw_zip: str, parsed: Column) -> DataFr
 
 
 def returns_summary(returns: DataFrame) -> DataFrame:
-    return returns.groupBy("fy").agg(
-        F.count(F.lit(1)).alias("return_lines"), F.countDistinct("cust_id").alias("customers"),
-        F.countDistinct("item_id").alias("products"),
+    return with_distinct_counts(
+        returns, ["fy"], {"customers": "cust_id", "products": "item_id"}, F.count(F.lit(1)).alias("return_lines"),
         F.round(F.abs(F.sum("amount")), 2).alias("returned_value"))
 
 

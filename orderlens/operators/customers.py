@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import ranking as rk
 from ..functions import text
 from ..functions.columns import bands, col, flag, half_up, lookup
+from ..functions.distinct import with_distinct_counts
 from ..params import (MARKET_NAMES, SEGMENT_WEIGHTS, SIZE_NAMES, SIZE_TIERS, CleaningParams,
                       SizeParams, SupplierParams)
 from ..session import stage
@@ -23,10 +24,9 @@ def _paid() -> Column:
 # ---- specialties ----
 
 def specialty_stats(sales: DataFrame, customers: DataFrame) -> DataFrame:
-    by = sales.join(customers.select("cust_id", "specialty", "specialty_dsc"), "cust_id").groupBy(
-        "specialty", "specialty_dsc").agg(
-        F.countDistinct("cust_id").alias("unique_customers"),
-        F.countDistinct("order_id").alias("unique_orders"),
+    by = with_distinct_counts(
+        sales.join(customers.select("cust_id", "specialty", "specialty_dsc"), "cust_id"), ["specialty", "specialty_dsc"],
+        {"unique_customers": "cust_id", "unique_orders": "order_id"},
         F.round(F.sum("amount"), 2).alias("total_revenue"))
     total = F.sum("total_revenue").over(W.partitionBy(F.lit(0)))  # one row per specialty: small
     return (by.withColumn("pct_of_total_revenue", F.round(F.col("total_revenue") / total * 100, 4))
@@ -187,9 +187,13 @@ def size_stats(sales: DataFrame, p: SizeParams) -> DataFrame:
 # ---- encodings ----
 
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Position of the value among the sorted distinct values; NULL becomes -1."""
-    codes = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    index = codes.withColumn("_i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(column)) - 1)
+    """Position of the value among the distinct values sorted as text; NULL becomes -1."""
+    codes = df.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("_p", F.substring(F.col(column).cast("string"), 1, 3))
+    # values sort first by how they begin; only the sizes of these groups are summed in one task
+    starts = codes.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_start", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.row_number().over(W.partitionBy("_p").orderBy(F.col(column).cast("string")))
+    index = codes.withColumn("_r", inside).join(starts, "_p").select(column, (F.col("_start") + F.col("_r") - 1).cast("int").alias("_i"))
     return df.join(index, column, "left").withColumn(out, F.coalesce("_i", F.lit(-1))).drop("_i")
 
 
@@ -243,9 +247,8 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 
 def fy_sales_stats(sales: DataFrame) -> DataFrame:
-    return sales.groupBy("fy").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.countDistinct("cust_id").alias("customers"),
-        F.countDistinct("item_id").alias("products"), F.round(F.sum("amount"), 2).alias("revenue"),
+    return with_distinct_counts(
+        sales, ["fy"], {"customers": "cust_id", "products": "item_id"}, F.count(F.lit(1)).alias("n_lines"), F.round(F.sum("amount"), 2).alias("revenue"),
         F.min("order_date").alias("first_date"), F.max("order_date").alias("last_date"))
 
 

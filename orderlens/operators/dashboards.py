@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking as rk
 from ..functions.columns import flag, half_up, lookup
+from ..functions.distinct import with_distinct_counts
 
 # purchases: purchase_id, cust_id, item_id, quantity, unit_price, sold_by_seller_id, sold_at, source
 
@@ -43,10 +44,10 @@ def overview_kpis(customers: DataFrame, accounts: DataFrame, items: DataFrame, c
 
 
 def sales_period(purchases: DataFrame, now: str, days: int) -> DataFrame:
-    return since(purchases, now, days).agg(
+    return with_distinct_counts(
+        since(purchases, now, days), [], {"customers": "cust_id", "sellers": "sold_by_seller_id"},
         F.count(F.lit(1)).alias("transactions"), F.coalesce(_revenue(), F.lit(0.0)).alias("revenue"),
-        F.sum("quantity").alias("quantity"), F.countDistinct("cust_id").alias("customers"),
-        F.countDistinct("sold_by_seller_id").alias("sellers"))
+        F.sum("quantity").alias("quantity"))
 
 
 def bucket_start(granularity: str, ts: str = "sold_at") -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import ranking as rk
 from ..functions import text
 from ..functions.columns import bands, flag, half_up
+from ..functions.distinct import with_distinct_counts
 from ..params import EXCLUDED_FAMILIES, ProductParams
 from ..session import stage
 
@@ -229,9 +230,8 @@ def customer_ranking(sales: DataFrame, features: DataFrame) -> DataFrame:
 
 def product_ranking(merged: DataFrame) -> DataFrame:
     paid = merged.filter(F.col("amount") > 0)
-    sums = paid.groupBy("item_id").agg(
-        F.countDistinct("order_id").alias("sales_count"), F.count(F.lit(1)).alias("line_count"),
-        F.countDistinct("cust_id").alias("distinct_buyers"), F.round(F.sum("amount"), 2).alias("total_revenue"),
+    sums = with_distinct_counts(
+        paid, ["item_id"], {"sales_count": "order_id", "distinct_buyers": "cust_id"}, F.count(F.lit(1)).alias("line_count"), F.round(F.sum("amount"), 2).alias("total_revenue"),
         F.round(F.sum("qty"), 2).alias("total_volume"), F.max("order_date").alias("last_sold"),
         F.min("order_date").alias("first_sold")).withColumn(
         "avg_unit_price", half_up(F.try_divide(F.col("total_revenue"), F.col("total_volume")), 4))

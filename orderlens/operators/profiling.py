@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking as rk
 from ..functions.columns import flag, half_up
+from ..functions.distinct import with_distinct_counts
 from .joins import lines_for
 
 # merged lines carry is_return as 0/1; "sold" lines are those with 0
@@ -25,9 +26,9 @@ def sold(merged: DataFrame) -> DataFrame:
 def summary(lines: DataFrame, keys: Sequence[str], count: Sequence[str] = ("cust_id", "order_id")) -> DataFrame:
     """Distinct counts, lines and revenue per group."""
     names = {"cust_id": "unique_customers", "item_id": "unique_products", "order_id": "unique_orders"}
-    return lines.groupBy(*_named(keys)).agg(
-        *[F.countDistinct(c).alias(names[c]) for c in count],
-        F.count(F.lit(1)).alias("total_order_lines"), F.round(F.sum("amount"), 2).alias("total_revenue"))
+    rows = lines.select(*_named(keys), *[c for c in names if c not in keys], "amount")
+    return with_distinct_counts(rows, keys, {names[c]: c for c in count},
+                                F.count(F.lit(1)).alias("total_order_lines"), F.round(F.sum("amount"), 2).alias("total_revenue"))
 
 
 def with_share(df: DataFrame, value: str, out: str, within: Sequence[str] = ()) -> DataFrame:
@@ -41,17 +42,16 @@ def with_share(df: DataFrame, value: str, out: str, within: Sequence[str] = ())
 
 
 def data_overview(merged: DataFrame) -> DataFrame:
-    """One row per metric, from one wide aggregate."""
+    """One row per metric."""
     distinct = {"unique_customers": "cust_id", "unique_products": "item_id", "unique_orders": "order_id",
                 "unique_specialties": "specialty", "unique_states": "state", "unique_families": "family"}
-    wide = merged.agg(
-        F.count(F.lit(1)).cast("double").alias("total_rows"), F.sum("is_return").cast("double").alias("return_rows"),
-        *[F.countDistinct(c).cast("double").alias(n) for n, c in distinct.items()],
+    wide = with_distinct_counts(
+        merged, [], distinct, F.count(F.lit(1)).cast("double").alias("total_rows"), F.sum("is_return").cast("double").alias("return_rows"),
         F.round(F.sum(F.when(F.col("is_return") == 0, F.col("amount"))), 2).alias("revenue_without_returns"),
         F.date_format(F.min("order_date"), "yyyyMMdd").cast("double").alias("first_date"),
         F.date_format(F.max("order_date"), "yyyyMMdd").cast("double").alias("last_date"))
     return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in wide.columns])))
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in wide.columns])))
 
 
 def customers_by_type(merged: DataFrame) -> DataFrame:
@@ -64,8 +64,8 @@ def products_by(merged: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def sales_by_month(merged: DataFrame) -> DataFrame:
-    return sold(merged).groupBy("fy", "order_year", "order_month").agg(
-        F.countDistinct("cust_id").alias("unique_customers"), F.countDistinct("order_id").alias("unique_orders"),
+    return with_distinct_counts(
+        sold(merged), ["fy", "order_year", "order_month"], {"unique_customers": "cust_id", "unique_orders": "order_id"},
         F.count(F.lit(1)).alias("total_order_lines"), F.round(F.sum("amount"), 2).alias("total_revenue"),
         half_up(F.round(F.sum("amount"), 2) / F.count(F.lit(1))).alias("avg_line_revenue"))
 
