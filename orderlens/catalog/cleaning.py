@@ -261,12 +261,15 @@ def _(spark, sf):
 
 # ---- joins ----
 
-@query("c1_star_join", """
-SELECT fy, market, state, family, is_private_brand, count(*) AS n_lines, round(sum(amount), 2) AS revenue
-FROM v_merged GROUP BY ALL""")
+@query("c1_star_join", f"""
+SELECT fy, market, state, family, is_private_brand, specialty_tier, count(*) AS n_lines, round(sum(amount), 2) AS revenue
+FROM v_merged m LEFT JOIN (SELECT specialty AS sp, CASE WHEN n >= {d.CLEANING.tier1_customers} THEN 1 WHEN n >= {d.CLEANING.tier2_customers} THEN 2 ELSE 3 END AS specialty_tier
+  FROM (SELECT specialty, count(DISTINCT s.cust_id) AS n FROM v_sales s JOIN v_customers c ON s.cust_id = c.cust_id GROUP BY 1)) ON sp = m.specialty
+GROUP BY ALL""")
 def _(spark, sf):
     m = Model.from_folder(spark, sf)
-    return m.merged.groupBy("fy", "market", "state", "family", "is_private_brand").agg(
+    merged = joins.star_join(m.sales, m.customers, m.items, m.specialty_tiers)
+    return merged.groupBy("fy", "market", "state", "family", "is_private_brand", "specialty_tier").agg(
         F.count(F.lit(1)).alias("n_lines"), F.round(F.sum("amount"), 2).alias("revenue"))
 
 

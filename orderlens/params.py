@@ -164,3 +164,19 @@ class EvalParams:
     cart_lines: int = 4
     cart_lift: float = 1.5
     cart_support: float = 0.0001
+
+
+@dataclass(frozen=True)
+class ModelParams:
+    """Everything the derived tables depend on besides the role tables."""
+    markets: tuple = ("PO", "LTC", "SC", "LC", "HC", "AC")
+    competitors: tuple = ()
+    excluded_families: tuple = EXCLUDED_FAMILIES
+    cleaning: CleaningParams = field(default_factory=CleaningParams)
+    size: SizeParams = field(default_factory=SizeParams)
+    supplier: SupplierParams = field(default_factory=SupplierParams)
+    patterns: PatternParams = field(default_factory=PatternParams)
+    patterns_item: PatternParams = field(default_factory=PatternParams)
+    pairs: PairParams = field(default_factory=PairParams)
+    products: ProductParams = field(default_factory=ProductParams)
+    engine: EngineParams = field(default_factory=EngineParams)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import flag
 from ..functions.ranking import first_per_key
-from ..params import (CleaningParams, EngineParams, EvalParams, FamilyRuleParams, PairParams,
+from ..params import (CleaningParams, EngineParams, EvalParams, FamilyRuleParams, ModelParams, PairParams,
                       PatternParams, ProductParams, SizeParams, SupplierParams)
 
 PRIVATE_BRANDS = ("Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5")
@@ -33,6 +33,8 @@ PAIRS = PairParams(min_buyers=20, min_together=2, min_support=0.00001)
 PRODUCTS = ProductParams(min_buyers=20)
 ENGINE = EngineParams(min_buyers=20, market_share=0.30, size_share=0.25)
 EVAL = EvalParams()
+PARAMS = ModelParams(markets=MARKETS, competitors=COMPETITORS, excluded_families=EXCLUDED_FAMILIES, cleaning=CLEANING, size=SIZE,
+                     supplier=SUPPLIER, patterns=PATTERNS, patterns_item=PATTERNS_ITEM, pairs=PAIRS, products=PRODUCTS, engine=ENGINE)
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

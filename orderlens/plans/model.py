@@ -20,7 +20,7 @@ from ..operators import pairs as pa
 from ..operators import products as pr
 from ..operators import signals as sg
 from ..operators.evaluation import before_holdout
-from ..params import SIGNALS, SIZE_TIERS, EvalParams
+from ..params import SIGNALS, SIZE_TIERS, EvalParams, ModelParams
 from ..session import stage
 from . import driver_tables as d
 
@@ -28,14 +28,19 @@ from . import driver_tables as d
 class Model:
     _shared: dict[tuple[str, str], Model] = {}
 
-    def __init__(self, sales: DataFrame, customers: DataFrame, items: DataFrame, reuse: bool = True):
-        self._sales, self.customers, self.items, self.reuse = sales, customers, items, reuse
+    def __init__(self, sales: DataFrame, customers: DataFrame, items: DataFrame, reuse: bool = True,
+                 params: ModelParams = ModelParams(), coarse_items: DataFrame | None = None):
+        """``coarse_items`` maps items to the grain of the coarse cadence; without it items are taken as they are."""
+        self._sales, self.customers, self.items, self.reuse, self.params = sales, customers, items, reuse, params
+        self._coarse_items = items.select("item_id", F.col("item_id").alias("coarse_id")) if coarse_items is None else coarse_items
 
     @classmethod
     def from_folder(cls, spark: SparkSession, sf_dir: str) -> Model:
         key = (spark.sparkContext.applicationId, sf_dir)
         if key not in cls._shared:
-            cls._shared[key] = cls(d.sales(spark, sf_dir), d.customers(spark, sf_dir), d.items(spark, sf_dir))
+            items = d.items(spark, sf_dir)
+            cls._shared[key] = cls(d.sales(spark, sf_dir), d.customers(spark, sf_dir), items, params=d.PARAMS,
+                                   coarse_items=d.coarse_items(items))
         return cls._shared[key]
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +56,7 @@ class Model:
 
     @cached_property
     def eligible(self) -> DataFrame:
-        return joins.eligible_lines(self.item_lines, d.EXCLUDED_FAMILIES, d.COMPETITORS)
+        return joins.eligible_lines(self.item_lines, self.params.excluded_families, self.params.competitors)
 
     @cached_property
     def item_lines(self) -> DataFrame:
@@ -60,16 +65,16 @@ class Model:
     @cached_property
     def specialty_tiers(self) -> DataFrame:
         stats = cu.specialty_stats(self.sales, self.customers)
-        return stats.withColumn("specialty_tier", cu.specialty_tier("unique_customers", d.CLEANING))
+        return stats.withColumn("specialty_tier", cu.specialty_tier("unique_customers", self.params.cleaning))
 
     @cached_property
     def features(self) -> DataFrame:
-        return self._keep(cu.customer_features(self.sales, self.item_lines, self.customers, d.COMPETITORS, d.SIZE, d.SUPPLIER),
+        return self._keep(cu.customer_features(self.sales, self.item_lines, self.customers, self.params.competitors, self.params.size, self.params.supplier),
                           "customer_features")
 
     @cached_property
     def segments(self) -> DataFrame:
-        return cu.assign_segments(self.features, d.MARKETS)
+        return cu.assign_segments(self.features, self.params.markets)
 
     @cached_property
     def latest(self) -> DataFrame:
@@ -77,38 +82,38 @@ class Model:
 
     @cached_property
     def cust_items(self) -> DataFrame:
-        pairs = pr.min_buyers(pr.cust_item_agg(self.eligible), d.PRODUCTS.min_buyers)
+        pairs = pr.min_buyers(pr.cust_item_agg(self.eligible), self.params.products.min_buyers)
         return self._keep(pr.with_context(pairs, self.segments, self.features), "cust_items")
 
     @cached_property
     def product_features(self) -> DataFrame:
         return self._keep(pr.product_features(
-            self.cust_items, self.latest, self.items, self.segments, (*d.MARKETS, "OTHER"), SIZE_TIERS, d.PRODUCTS),
+            self.cust_items, self.latest, self.items, self.segments, (*self.params.markets, "OTHER"), SIZE_TIERS, self.params.products),
             "product_features")
 
     @cached_property
     def product_specialty(self) -> DataFrame:
-        return self._keep(pr.product_specialty(self.cust_items, d.PRODUCTS), "product_specialty")
+        return self._keep(pr.product_specialty(self.cust_items, self.params.products), "product_specialty")
 
     @cached_property
     def pattern_lines(self) -> DataFrame:
-        return joins.eligible_lines(self.item_lines, d.EXCLUDED_FAMILIES)
+        return joins.eligible_lines(self.item_lines, self.params.excluded_families)
 
     @cached_property
     def lapsed(self) -> DataFrame:
-        return self._keep(bh.lapsed_products(self.pattern_lines, self.latest, d.PATTERNS), "lapsed")
+        return self._keep(bh.lapsed_products(self.pattern_lines, self.latest, self.params.patterns), "lapsed")
 
     @cached_property
     def patterns(self) -> DataFrame:
         lines = self.pattern_lines
         return self._keep(bh.customer_patterns(
-            bh.order_cadence(lines, d.PATTERNS), bh.activity_trend(lines, self.latest, d.PATTERNS),
-            bh.portfolio(lines, self.lapsed), self.segments, d.PATTERNS), "customer_patterns")
+            bh.order_cadence(lines, self.params.patterns), bh.activity_trend(lines, self.latest, self.params.patterns),
+            bh.portfolio(lines, self.lapsed), self.segments, self.params.patterns), "customer_patterns")
 
     @cached_property
     def coarse_cadence(self) -> DataFrame:
         """Personal cadence at the coarse item grain, where repeats are common."""
-        lines = self.pattern_lines.join(d.coarse_items(self.items), "item_id").withColumn("item_id", F.col("coarse_id"))
+        lines = self.pattern_lines.join(self._coarse_items, "item_id").withColumn("item_id", F.col("coarse_id"))
         return self._keep(bh.personal_cadence(lines), "coarse_cadence")
 
     @cached_property
@@ -117,9 +122,9 @@ class Model:
 
     @cached_property
     def replenishment(self) -> DataFrame:
-        cadence = bh.segment_cadence(self.item_cadence, self.segments, self.latest, d.PATTERNS_ITEM)
+        cadence = bh.segment_cadence(self.item_cadence, self.segments, self.latest, self.params.patterns_item)
         return self._keep(bh.replenishment_candidates(
-            self.item_cadence, cadence, self.segments, self.latest, d.PATTERNS_ITEM), "replenishment")
+            self.item_cadence, cadence, self.segments, self.latest, self.params.patterns_item), "replenishment")
 
     @cached_property
     def family_firsts(self) -> DataFrame:
@@ -131,35 +136,35 @@ class Model:
 
     @cached_property
     def baskets(self) -> DataFrame:
-        return self._keep(pa.weekly_baskets(self.eligible, d.PAIRS.min_buyers), "baskets")
+        return self._keep(pa.weekly_baskets(self.eligible, self.params.pairs.min_buyers), "baskets")
 
     @cached_property
     def cooccurrence(self) -> DataFrame:
-        return self._keep(pa.cooccurrence(self.baskets, d.PAIRS), "cooccurrence")
+        return self._keep(pa.cooccurrence(self.baskets, self.params.pairs), "cooccurrence")
 
     @cached_property
     def product_pairs(self) -> DataFrame:
-        top = pa.directional_topk(self.cooccurrence, d.PAIRS.top_pairs)
+        top = pa.directional_topk(self.cooccurrence, self.params.pairs.top_pairs)
         return self._keep(joins.describe_pairs(top, self.items, "product_a", "product_b"), "product_pairs")
 
     @cached_property
     def weights(self) -> DataFrame:
-        return self._keep(pa.centred_weights(pr.cust_item_agg(self.eligible), d.PAIRS.min_buyers), "weights")
+        return self._keep(pa.centred_weights(pr.cust_item_agg(self.eligible), self.params.pairs.min_buyers), "weights")
 
     @cached_property
     def similarity(self) -> DataFrame:
-        return self._keep(pa.similar_topn(pa.item_similarity(self.weights, d.PAIRS), d.PAIRS.sim_top), "similarity")
+        return self._keep(pa.similar_topn(pa.item_similarity(self.weights, self.params.pairs), self.params.pairs.sim_top), "similarity")
 
     @cached_property
     def match_catalogue(self) -> DataFrame:
-        economics = pr.product_economics(self.item_lines, d.COMPETITORS, d.EXCLUDED_FAMILIES)
+        economics = pr.product_economics(self.item_lines, self.params.competitors, self.params.excluded_families)
         return self._keep(pa.match_catalogue(pr.parsed_items(self.items), economics), "match_catalogue")
 
     @cached_property
     def equivalents(self) -> DataFrame:
         return self._keep(pa.equivalents_union(
-            pa.brand_upgrades(self.match_catalogue, d.PAIRS),
-            pa.competitor_conversions(self.match_catalogue, d.PAIRS)), "equivalents")
+            pa.brand_upgrades(self.match_catalogue, self.params.pairs),
+            pa.competitor_conversions(self.match_catalogue, self.params.pairs)), "equivalents")
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -171,14 +176,14 @@ class Model:
 
     @cached_property
     def engine_products(self) -> DataFrame:
-        return self._keep(sg.eligible_products(self.product_features, d.ENGINE), "engine_products")
+        return self._keep(sg.eligible_products(self.product_features, self.params.engine), "engine_products")
 
     def signal(self, name: str) -> DataFrame:
-        p, e = d.ENGINE, (self.engine_products, self.product_specialty)
+        p, e = self.params.engine, (self.engine_products, self.product_specialty)
         return {
             "peer_gap": lambda: sg.peer_gap(self.profile, self.family_profile, *e, self.history, p),
             "popularity": lambda: sg.popularity_recs(
-                self.profile, *e, self.history, (*d.MARKETS, "OTHER"), SIZE_TIERS, p),
+                self.profile, *e, self.history, (*self.params.markets, "OTHER"), SIZE_TIERS, p),
             "cart_complement": lambda: sg.cart_complement(self.profile, self.product_pairs, *e, self.history, p),
             "item_similarity": lambda: sg.item_similarity(self.profile, self.similarity, *e, self.history, p),
             "lapsed_recovery": lambda: sg.lapsed_recovery(self.profile, self.lapsed, *e, p),
@@ -211,7 +216,7 @@ class Model:
 
     @cached_property
     def _recommendations(self) -> DataFrame:
-        return self._keep(cb.recommendations(self.signals, self.profile, self.product_features, d.ENGINE), "recommendations")
+        return self._keep(cb.recommendations(self.signals, self.profile, self.product_features, self.params.engine), "recommendations")
 
     def recommendations(self) -> DataFrame:
         """The flagship table: an explained top-10 per customer."""
@@ -220,5 +225,5 @@ class Model:
     def before_holdout(self, p: EvalParams) -> Model:
         """The same tables built from the lines before the holdout only."""
         if "_past" not in self.__dict__:
-            self._past = Model(before_holdout(self.sales, p), self.customers, self.items, self.reuse)
+            self._past = Model(before_holdout(self.sales, p), self.customers, self.items, self.reuse, self.params, self._coarse_items)
         return self._past
