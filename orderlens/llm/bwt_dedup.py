@@ -10,7 +10,8 @@ Every byte covered by a ``length``-byte string that also starts in a document wi
    There equal segments of all shards are joined, and those whose fingerprint has several are the strings of a few
    shard texts. Each gets its transform, and the transforms are merged by refining their interleave: one
    stable pass by the preceding symbol a round, so after round h all suffixes are in the order of their
-   first h bytes without being sorted again. A boundary that appears in round h divides suffixes with h - 1 bytes in
+   first h bytes without being sorted again; only suffixes that begin h bytes before a window's end take
+   part in round h. A boundary that appears in round h divides suffixes with h - 1 bytes in
    common; the intervals that are left after ``length`` rounds are the repeated strings. Each interval's
    least document id is the answer for its windows.
 3. Answers return to the shards as runs of windows, where the bytes are removed.
@@ -20,13 +21,13 @@ Memory of a task is that of a shard or bucket, whose number follows the input. A
 
 Null text counts as empty. Texts of one id are one document to each other (nothing of one is removed for the
 other). Rows with a null id have no order: nothing of them is removed, and nothing for them. An empty table gives
-no rows. Strings are told apart by their fingerprint and a 64-bit hash of their bytes.
+no rows. Strings are told apart by their fingerprint and a 64-bit hash of their bytes; whether a fingerprint has
+a single string, by 31 bits of that hash.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import math
 import uuid
 from collections.abc import Iterator
@@ -44,7 +45,18 @@ _NONE = np.iinfo(np.int64).max
 _SEPARATOR = 255
 _SEGMENT = np.dtype([("key", "<u8"), ("hash", "<u8"), ("n", "<u4"), ("doc", "<i8")])
 _RUN = np.dtype([("string", "<u4"), ("start", "<u4"), ("n", "<u4"), ("doc", "<i8")])
-_COUNT = np.dtype([("part", "<u4"), ("docs", "<u2")])
+_COUNT = np.dtype([("part", "<u4"), ("docs", "u1"), ("content", "<u4")])  # content 0: several
+_MARK = np.dtype([("part", "<u4"), ("mark", "u1")])
+_SEVERAL, _HOT, _SINGLE = 1, 2, 3  # strings with a fingerprint: several; too many documents; one
+
+
+def _pack(rows: np.ndarray) -> bytes:
+    """Rows as planes of bytes, which compress better: sorted and small numbers repeat their high bytes."""
+    return np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), -1).T).tobytes() if len(rows) else b""
+
+
+def _unpack(data, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
 
 
 @functools.lru_cache(1)
@@ -146,6 +158,11 @@ class Segments:
         return order, new
 
 
+def _content(seg: Segments) -> np.ndarray:
+    """32 bits of a segment's bytes and length, never 0."""
+    return (mix64(seg.hash + seg.n.astype(np.uint64), 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
 def _texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, bytes and offsets of a shard's documents, in the order of id and bytes."""
     t = t.select(["doc_id", "text"]).combine_chunks()
@@ -193,19 +210,21 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         known += step
 
 
-def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffixes in the order of their first ``depth`` symbols, and their intervals.
+def merge_transforms(transforms: list[np.ndarray], from_round: list[np.ndarray], to_round: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the shards' windows in the order of their first ``depth`` symbols, and their intervals.
 
-    Round by round every suffix steps to the one that begins a symbol earlier; a stable pass by that symbol
-    keeps the order of what follows.
+    A transform's rows take part from one round to another: row by row the suffixes that are as many symbols before
+    the end of a window as there have been rounds. Each steps to the suffix that begins a symbol earlier;
+    a stable pass by that symbol keeps the order of what follows.
     """
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
+    live = [t[f == 0] for t, f in zip(transforms, from_round)]
+    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in live])
     interval = np.zeros(len(shard), np.int32)
     symbol = np.empty(len(shard), np.uint8)
     edge = np.zeros(len(shard), bool)
-    for _ in range(depth):
+    for h in range(depth):
         for k, t in enumerate(transforms):
-            symbol[shard == k] = t
+            symbol[shard == k] = t[(from_round[k] <= h) & (h < to_round[k])]
         step = np.argsort(symbol, kind="stable")
         shard, before, s = shard[step], interval[step], symbol[step]
         np.not_equal(s[1:], s[:-1], out=edge[1:])
@@ -215,36 +234,53 @@ def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
 
 
 def repeated_windows(texts: list[np.ndarray], windows: list[np.ndarray], docs: list[np.ndarray], length: int) -> list[np.ndarray]:
-    """For every shard text the least document of each place's window (of all equal windows); valid places only.
+    """For every shard text the least document of all equal windows, for the windows in the order of their places.
 
-    ``windows`` marks the places where a window begins, ``docs`` holds their documents.
+    ``windows`` holds the places where a window begins (in runs, ascending), ``docs`` their documents.
     """
-    orders = [suffix_order(t, length) for t in texts]
-    shard, interval = merge_transforms([t[o - 1] for t, o in zip(texts, orders)], length)
+    orders, rounds = [suffix_order(t, length) for t in texts], []
+    for t, w, o in zip(texts, windows, orders):
+        # round h has the places length - h behind the beginnings of a run of windows
+        first = w[np.diff(w, prepend=-2) != 1]
+        last = w[np.append(np.diff(w) != 1, True)] if len(w) else w
+        place = np.arange(len(t))
+        run = np.searchsorted(first, place, "right") - 1
+        near = np.maximum(run, 0)
+        begin, end = length - (place - first[near]), length - (place - last[near]) + 1
+        rounds.append((np.where(run >= 0, begin, length + 1)[o].astype(np.int32), np.where(run >= 0, end, length + 1)[o].astype(np.int32)))
+    # places further behind a run than ``length`` began before round 0
+    starts = [np.maximum(b, 0) for b, _ in rounds]
+    shard, interval = merge_transforms([t[o - 1] for t, o in zip(texts, orders)], starts, [e for _, e in rounds], length)
+    found = [np.flatnonzero((b <= length) & (length < e)) for b, e in rounds]  # the windows themselves, in order
     doc = np.empty(len(shard), np.int64)
-    for k, o in enumerate(orders):
-        doc[shard == k] = np.where(windows[k][o], docs[k][o], _NONE)
+    at = []
+    for k, (o, w, d, f) in enumerate(zip(orders, windows, docs, found)):
+        at.append(np.searchsorted(w, o[f]))
+        doc[shard == k] = d[at[k]]
     least = np.minimum.reduceat(doc, np.flatnonzero(np.diff(interval, prepend=-1)))[interval]
     out = []
-    for k, o in enumerate(orders):
-        found = np.empty(len(o), np.int64)
-        found[o] = least[shard == k]
-        out.append(found)
+    for k, w in enumerate(windows):
+        answer = np.empty(len(w), np.int64)
+        answer[at[k]] = least[shard == k]
+        out.append(answer)
     return out
 
 
-def _least_documents(s: np.ndarray, content: np.ndarray, length: int, shards: int = 4, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the strings' windows and the least document of each window; ``s`` is sorted by key, all distinct."""
+def _least_documents(s: np.ndarray, content: np.ndarray, length: int, shards: int = 2, at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the strings' windows and the least document of each window.
+
+    ``s`` is sorted by key, all distinct; ``content`` holds the bytes of those with a hash.
+    """
     n = s["n"].astype(np.int64)
     bounds = np.concatenate([[0], np.cumsum(n)])
     answer = np.repeat(s["doc"], n)
-    size = n + length - 1
+    size = np.where(s["hash"] != 0, n + length - 1, 0)
     begin = np.cumsum(size) - size
     same = np.concatenate([[False], s["key"][1:] == s["key"][:-1]]) if len(s) else np.zeros(0, bool)
     group = np.cumsum(~same)
     several = same.copy()
     several[:-1] |= same[1:]
-    at = np.flatnonzero(several)
+    at = np.flatnonzero(several & (s["hash"] != 0))
     # whole groups of one fingerprint, about so many symbols at a time
     load = np.cumsum(size[at] + 1) // at_once
     last = np.flatnonzero(np.diff(group[at], append=-1))
@@ -259,11 +295,9 @@ def _least_documents(s: np.ndarray, content: np.ndarray, length: int, shards: in
             into = np.repeat(start - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(int(size[part].sum()))
             t[into] = _gather(content, begin[part], size[part])
             w = np.repeat(start - (np.cumsum(n[part]) - n[part]), n[part]) + np.arange(int(n[part].sum()))
-            valid, doc = np.zeros(len(t), bool), np.zeros(len(t), np.int64)
-            valid[w], doc[w] = True, np.repeat(s["doc"][part], n[part])
-            texts.append(t), windows.append(valid), docs.append(doc), places.append((part, w))
+            texts.append(t), windows.append(w), docs.append(np.repeat(s["doc"][part], n[part])), places.append((part, w))
         for (part, w), found in zip(places, repeated_windows(texts, windows, docs, length)):
-            answer[np.repeat(bounds[part] - (np.cumsum(n[part]) - n[part]), n[part]) + np.arange(len(w))] = found[w]
+            answer[np.repeat(bounds[part] - (np.cumsum(n[part]) - n[part]), n[part]) + np.arange(len(w))] = found
     return bounds, answer
 
 
@@ -276,11 +310,11 @@ def sharded(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
     buckets = 1 << max(3, math.ceil(math.log2(max(1, size / shard_bytes))))
     name = f"text_shards_{uuid.uuid4().hex}"
     (rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(2 * buckets))).repartition(buckets, "shard")
-     .write.bucketBy(buckets, "shard").sortBy("shard").option("path", f"{stage_root(spark)}/{name}").saveAsTable(name))
+     .write.bucketBy(buckets, "shard").sortBy("shard").option("compression", "zstd").option("path", f"{stage_root(spark)}/{name}").saveAsTable(name))
     return spark.table(name), buckets
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 12 << 20, hot_documents: int = 200_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 12 << 20, hot_documents: int = 50_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for every row of ``docs``."""
     texts, buckets = sharded(docs, shard_bytes)
     low = np.uint64(buckets - 1)
@@ -302,34 +336,42 @@ def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 12 << 2
         at = np.flatnonzero(new)
         out = np.empty(len(at), _COUNT)
         if len(at):
-            out["part"], out["docs"] = p[at], np.minimum(np.add.reduceat(documents.astype(np.int64), at), 65535)
+            out["part"], out["docs"] = p[at], np.minimum(np.add.reduceat(documents.astype(np.int64), at), 255)
+            c = _content(seg)[order]
+            least, most = np.minimum.reduceat(c, at), np.maximum.reduceat(c, at)
+            out["content"] = np.where(least == most, least, 0)
         bounds = np.searchsorted(b[at], np.arange(buckets + 1))
         some = np.flatnonzero(np.diff(bounds))
-        return _rows(np.full(len(some), shard), some, 0, [out[bounds[i]:bounds[i + 1]].tobytes() for i in some])
+        return _rows(np.full(len(some), shard), some, 0, [_pack(out[bounds[i]:bounds[i + 1]]) for i in some])
 
     def find_shared(t: pa.Table) -> pa.Table:
         bucket = t["bucket"][0].as_py()
         shards = t["shard"].to_numpy()
-        parts = [np.frombuffer(x, _COUNT) for x in t["payload"].to_pylist()]
+        parts = [_unpack(x, _COUNT) for x in t["payload"].to_pylist()]
         every = np.concatenate(parts)
         values, inverse = np.unique(every["part"], return_inverse=True)
         total = np.bincount(inverse, weights=every["docs"], minlength=len(values))
         # each id is in one shard, so two shards have two documents
-        mark = np.where(total >= hot_documents, 2, np.where(total >= 2, 1, 0)).astype(np.uint16)[inverse]
+        least, most = np.full(len(values), 2**32 - 1, np.uint32), np.zeros(len(values), np.uint32)
+        np.minimum.at(least, inverse, every["content"])
+        np.maximum.at(most, inverse, every["content"])
+        single = (least == most) & (least > 0)
+        mark = np.where(total < 2, 0, np.where(single, _SINGLE, np.where(total >= hot_documents, _HOT, _SEVERAL))).astype(np.uint8)[inverse]
         out, at = [], 0
         for p in parts:
             m = mark[at:at + len(p)]
             at += len(p)
-            kept = p[m > 0].copy()
-            kept["docs"] = m[m > 0]
-            out.append(kept.tobytes())
+            kept = np.empty(int((m > 0).sum()), _MARK)
+            kept["part"], kept["mark"] = p["part"][m > 0], m[m > 0]
+            out.append(_pack(kept))
         return _rows(shards, np.full(len(shards), bucket), 0, out)
 
     def shared_segments(t: pa.Table, lists: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Segments]:
+        """The shard's texts, and segments with a shared fingerprint; those of a single string have hash 0."""
         ids, data, offsets = _texts(t)
         seg = Segments(data, offsets, length)
         lists = lists.filter(pa.compute.equal(lists["kind"], 0))
-        found = [np.frombuffer(x, _COUNT) for x in lists["payload"].to_pylist()]
+        found = [_unpack(x, _MARK) for x in lists["payload"].to_pylist()]
         if not found:
             seg.keep(np.zeros(0, np.int64))
             return ids, data, offsets, seg
@@ -337,13 +379,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 12 << 2
         every = np.concatenate(found)
         code = (where << np.uint64(32)) | every["part"]
         order = np.argsort(code)
-        code, hot = code[order], every["docs"][order] == 2
+        code, mark = code[order], every["mark"][order]
         bucket, part = bucket_and_part(seg.key)
         mine = (bucket.astype(np.uint64) << np.uint64(32)) | part
         at = np.minimum(np.searchsorted(code, mine), max(len(code) - 1, 0))
         there = np.flatnonzero(code[at] == mine) if len(code) else np.zeros(0, np.int64)
         seg.keep(there)
-        seg.single_windows(hot[at[there]] if len(there) else np.zeros(0, bool), data, length)
+        if len(there):
+            seg.hash[mark[at[there]] == _SINGLE] = 0
+            seg.single_windows(mark[at[there]] == _HOT, data, length)
         return ids, data, offsets, seg
 
     def send(key: tuple, t: pa.Table, lists: pa.Table) -> pa.Table:
@@ -364,8 +408,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 12 << 2
         payloads = []
         for i in some:
             rows = by[bounds[i]:bounds[i + 1]]
-            content = _gather(data, seg.first[order[at[rows]]], out["n"][rows].astype(np.int64) + length - 1)
-            payloads.append(np.int64(len(rows)).tobytes() + out[rows].tobytes() + content.tobytes())
+            sent = rows[out["hash"][rows] != 0]
+            content = _gather(data, seg.first[order[at[sent]]], out["n"][sent].astype(np.int64) + length - 1)
+            payloads.append(np.int64(len(rows)).tobytes() + _pack(out[rows]) + content.tobytes())
         return _rows(np.full(len(some), key[0].as_py()), some, 1, payloads)
 
     def merge(t: pa.Table) -> pa.Table:
@@ -373,10 +418,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 12 << 2
         heads, bodies = [], []
         for x in t["payload"].to_pylist():
             n = int(np.frombuffer(x, np.int64, 1)[0])
-            heads.append(np.frombuffer(x, _SEGMENT, n, 8))
+            heads.append(_unpack(memoryview(x)[8:8 + n * _SEGMENT.itemsize], _SEGMENT))
             bodies.append(np.frombuffer(x, np.uint8, -1, 8 + n * _SEGMENT.itemsize))
         every, content = np.concatenate(heads), np.concatenate(bodies)
-        size = every["n"].astype(np.int64) + length - 1
+        size = np.where(every["hash"] != 0, every["n"].astype(np.int64) + length - 1, 0)
         begin = np.cumsum(size) - size
         order = np.lexsort((every["n"], every["hash"], every["key"]))
         s = every[order]
@@ -405,7 +450,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 12 << 2
             out = np.empty(len(rows), _RUN)
             out["string"], out["start"] = np.repeat(np.arange(len(h)), k), runs[rows] - bounds[string_of[rows]]
             out["n"], out["doc"] = run_n[rows], least[runs[rows]]
-            payloads.append(out.tobytes())
+            payloads.append(_pack(out))
         return _rows(shards, np.full(len(shards), bucket), 1, payloads)
 
     types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
@@ -424,7 +469,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 12 << 2
         change = np.zeros(len(data) + 1, np.int32)
         runs = []
         for b, x in zip(answers["bucket"].to_pylist(), answers["payload"].to_pylist()):
-            r = np.frombuffer(x, _RUN)
+            r = _unpack(x, _RUN)
             lo = np.searchsorted(bucket[by], b)
             runs.append((by[lo + r["string"]], r["start"], r["n"], r["doc"]))
         if runs:
@@ -451,7 +496,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 12 << 2
                        "kept": [data[i:j][~gone[i:j]].tobytes() for i, j in zip(a.tolist(), b.tolist())]}, types)
 
     by_shard = texts.groupBy("shard")
-    lists = stage(stage(by_shard.applyInArrow(count, _PACKED_DDL), "fingerprints")
+    lists = stage(by_shard.applyInArrow(count, _PACKED_DDL)
                   .groupBy("bucket").applyInArrow(find_shared, _PACKED_DDL), "shared-fingerprints")
     sent = by_shard.cogroup(lists.groupBy("shard")).applyInArrow(send, _PACKED_DDL)
     answers = stage(sent.groupBy("bucket").applyInArrow(merge, _PACKED_DDL), "repeated-windows")
