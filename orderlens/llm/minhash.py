@@ -9,11 +9,12 @@ probability of their weighted Jaccard similarity. Points come in order of time,
 it is past the document's latest signature time.
 
 Equal multisets are joined before anything else. Documents that agree in a whole band are candidates. In
-every bucket of a band each member is first compared with the bucket's least member; members of a bucket that are not
-connected by then are compared with each other, so no candidate pair between different components goes
-unchecked, while buckets of mutual copies, however large, list no pairs. Links are pairs of weighted
-Jaccard similarity of at least the threshold, computed exactly. With 25 bands of 5 a pair of similarity 0.8 is
-missed with probability 5e-5.
+every bucket of a band each member is first compared with one of them, its hub; members of a bucket that are not
+connected by then are compared with all members of other components, block by block, so no candidate pair
+between different components goes unchecked, and large buckets list no pairs. Pairs whose signatures agree in fewer places
+than seven standard deviations below the threshold allows go no further; the others are links if their weighted
+Jaccard similarity, computed exactly from the texts, reaches the threshold. With 25 bands of 5 a pair of
+similarity 0.8 is missed with probability 5e-5.
 
 Null text counts as empty; texts without words are copies of each other. Rows with a null id are classes of
 their own (class_id null, kept true). Repeated ids are one document. An empty table gives no rows.
@@ -21,14 +22,14 @@ their own (class_id null, kept true). Repeated ids are one document. An empty ta
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import mix64, stage
+from .common import mix64, small_batches, stage
 from .components import components
 from .text_arrays import slices, utf8, word_hashes
 
@@ -108,32 +109,51 @@ def elements(hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.unique(mix64(np.repeat(hashes, weight) + nth.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)))
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard of two sorted arrays of elements."""
-    if not len(a) and not len(b):
-        return 1.0
-    at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
-    both = int((b[at] == a).sum()) if len(b) else 0
-    return both / (len(a) + len(b) - both)
-
-
-def _arrays(texts: pd.Series, width: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-    data, offsets = utf8(pa.array(texts, pa.large_string(), from_pandas=True))
-    for s in slices(np.diff(offsets), 2 << 20):
+def _arrays(texts: pa.Array, width: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct shingles, rows and counts of the texts, about a megabyte of text at a time."""
+    data, offsets = utf8(texts)
+    for s in slices(np.diff(offsets), 1 << 20):
         o = offsets[s.start:s.stop + 1]
         yield (s, *weighted(*shingles(data[o[0]:o[-1]], o - o[0], width)))
 
 
+def sketches(values: np.ndarray) -> np.ndarray:
+    """Four bits of each signature value, sixteen values to a 64-bit word."""
+    rows, places = values.shape
+    four = np.zeros((rows, -(-places // 16) * 16), np.uint64)
+    four[:, :places] = values & np.uint64(15)
+    shifts = (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(four.reshape(rows, -1, 16) << shifts, axis=2).view(np.int64)
+
+
+def may_reach(a: str, b: str, threshold: float, places: int) -> Column:
+    """Whether two sketches agree in enough places."""
+    agree = threshold + (1 - threshold) / 16
+    least = math.floor(places * agree - 7 * math.sqrt(places * agree * (1 - agree)))
+    differ = F.lit(0)
+    for i in range(-(-places // 16)):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return differ <= places - least
+
+
 def signatures(docs: DataFrame, bands: int, band_rows: int, width: int) -> DataFrame:
-    """id, k1 and k2 (a digest of the multiset), n (its size), bands (a hash for each)."""
+    """id, k1 and k2 (a digest of the multiset), n (its size), bands (a hash for each), sketch of the signature."""
     places = bands * band_rows
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for s, h, row, weight in _arrays(pdf["text"], width):
+    schema = pa.schema([("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()),
+                        ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for s, h, row, weight in _arrays(batch.column(1), width):
                 rows = s.stop - s.start
                 times = bag_min_hash(h, row, weight, rows, places)
-                values = mix64(times.view(np.uint64)).reshape(rows, bands, band_rows)
+                values = mix64(times.view(np.uint64))
+                sketch = sketches(values)
+                values = values.reshape(rows, bands, band_rows)
                 keys = np.zeros((rows, bands), np.uint64)
                 with np.errstate(over="ignore"):
                     for i in range(band_rows):
@@ -145,50 +165,119 @@ def signatures(docs: DataFrame, bands: int, band_rows: int, width: int) -> DataF
                     if len(first):
                         total[row[first]] = np.add.reduceat(p, first)
                 n = np.bincount(row, weights=weight, minlength=rows).astype(np.int64)
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[s], "k1": sums[0].view(np.int64), "k2": sums[1].view(np.int64),
-                                    "n": n, "bands": list(keys.view(np.int64))})
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(s.start, rows), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(n),
+                    pa.array(list(keys.view(np.int64)), schema.field("bands").type), pa.array(list(sketch), schema.field("sketch").type)],
+                    schema=schema)
 
     return (docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-            .mapInPandas(run, "id long, k1 long, k2 long, n long, bands array<long>"))
+            .mapInArrow(run, "id long, k1 long, k2 long, n long, bands array<long>, sketch array<long>"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs u, v whose documents are similar enough. Only documents of a pair are shuffled to be compared."""
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+def shingle_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """id and elements of the documents in ``needed``; only these are shuffled, or none if their ids are few."""
+    schema = pa.schema([("id", pa.int64()), ("elements", pa.list_(pa.int64()))])
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for s, h, row, weight in _arrays(pdf["text"], width):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for s, h, row, weight in _arrays(batch.column(1), width):
                 bounds = np.searchsorted(row, np.arange(s.stop - s.start + 1))
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[s], "elements": [
-                    elements(h[a:b], weight[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]})
+                sets = [elements(h[a:b], weight[a:b]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, len(sets)), pa.array(sets, schema.field(1).type)], schema=schema)
 
-    texts = (docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-             .join(needed, "id", "left_semi"))
-    sets = stage(texts.mapInPandas(run, "id long, elements binary"), "shingle-sets")
-    both = (pairs.join(sets.select(F.col("id").alias("u"), F.col("elements").alias("a")), "u")
-            .join(sets.select(F.col("id").alias("v"), F.col("elements").alias("b")), "v"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    needed = stage(needed.distinct(), "compared")  # so its size is known
+    return stage(texts.join(needed, "id", "left_semi").mapInArrow(run, "id long, elements array<long>"), "shingle-sets")
 
-    def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            ok = [similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= threshold for a, b in zip(pdf["a"], pdf["b"])]
-            yield pdf.loc[ok, ["u", "v"]]
 
-    return both.select("u", "v", "a", "b").mapInPandas(compare, "u long, v long").distinct()
+def verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs u, v whose documents are similar enough."""
+    sets = shingle_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")), width)
+    both = (pairs.join(sets.select(F.col("id").alias("u"), F.col("elements").alias("a")), "u")
+            .join(sets.select(F.col("id").alias("v"), F.col("elements").alias("b")), "v"))
+    common = F.size(F.array_intersect("a", "b"))
+    return (both.select("u", "v", common.alias("common"), (F.size("a") + F.size("b")).alias("sizes"))
+            .filter(F.col("common") / F.greatest(F.col("sizes") - F.col("common"), F.lit(1)) >= threshold).select("u", "v").distinct())
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], at_once: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of every set in ``a`` with every set in ``b``, some elements at a time."""
+    size = [np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b)]
+    values = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
+    both = np.intersect1d(*values)
+    out = np.zeros((len(a), len(b)), np.float32)
+    place = []
+    for x, n in zip(values, size):
+        at = np.minimum(np.searchsorted(both, x), max(len(both) - 1, 0))
+        hit = both[at] == x if len(both) else np.zeros(len(x), bool)
+        place.append((np.repeat(np.arange(len(n)), n)[hit], at[hit]))
+    for lo in range(0, len(both), at_once):
+        sides = []
+        for (row, at), n in zip(place, size):
+            m = np.zeros((len(n), min(at_once, len(both) - lo)), np.float32)
+            some = (at >= lo) & (at < lo + at_once)
+            m[row[some], at[some] - lo] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def apart_links(outer: DataFrame, inner: DataFrame, docs: DataFrame, width: int, threshold: float, block: int = 128) -> DataFrame:
+    """Links u, v between different components of a bucket.
+
+    ``outer`` holds the members outside a bucket's main component, ``inner`` all members. Both are dealt into blocks, and
+    every two blocks of a bucket meet in one task, which counts common shingles for all of their pairs at once
+    and returns, for each document and component, one link; pairs are not listed.
+    """
+    keys = ["band", "key"]
+    sides = {"o": stage(outer, "outer"), "i": stage(inner, "inner")}
+    blocks = [sides[s].groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias(f"{s}_blocks")) for s in "oi"]
+    count = stage(blocks[0].join(blocks[1], keys), "bucket-blocks")
+    cells = None
+    for s, other in (("o", "i"), ("i", "o")):
+        own = F.pmod(F.xxhash64("id"), F.col(f"{s}_blocks")).cast("int").alias(s)
+        rows = sides[s].join(count, keys).select(*keys, F.lit(s).alias("side"), "id", "component", own,
+                                                 F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(other))
+        rows = rows.select(*keys, "o", "i", "side", "id", "component")
+        cells = rows if cells is None else cells.unionByName(rows)
+    sets = shingle_sets(docs, sides["o"].select("id").union(sides["i"].select("id")), width)
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, parts, side = t["id"].to_numpy(), t["component"].to_numpy(), np.asarray(t["side"].to_pylist())
+        listed = t["elements"].chunk(0) if t["elements"].num_chunks else t["elements"]
+        offsets, values = listed.offsets.to_numpy(), listed.values.to_numpy()
+        found = [np.zeros(0, np.int64)] * 2
+        o, i = (np.flatnonzero(side == s) for s in "oi")
+        if len(o) and len(i):
+            a, b = ([values[offsets[k]:offsets[k + 1]] for k in at] for at in (o, i))
+            common = common_counts(a, b)
+            sizes = np.fromiter(map(len, a), float)[:, None] + np.fromiter(map(len, b), float)
+            x, y = np.nonzero((common / np.maximum(sizes - common, 1) >= threshold) & (parts[o][:, None] != parts[i]))
+            _, one = np.unique(np.stack([x, parts[i][y]]), axis=1, return_index=True)
+            found = [ids[o[x[one]]], ids[i[y[one]]]]
+        return pa.table({"u": pa.array(found[0], pa.int64()), "v": pa.array(found[1], pa.int64())})
+
+    return cells.join(sets, "id").groupBy(*keys, "o", "i").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 25, band_rows: int = 5) -> DataFrame:
     """doc_id, class_id (least id of its class), kept (doc_id = class_id): one row for each row of ``docs``."""
+    docs = small_batches(docs)
     signed = stage(signatures(docs, bands, band_rows, width), "signatures")
-    distinct = stage(signed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct-bags")
+    distinct = stage(signed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+                                                    F.first("sketch").alias("sketch")), "distinct-bags")
     members = distinct.filter("n > 0").select("id", "n", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    # another hub in every bucket of a document: what one leaves apart, the next ones join
+    first = F.min(F.struct(F.xxhash64("id", "band", "key").alias("h"), "id"))
+    buckets = members.groupBy("band", "key").agg(first["id"].alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
     shared = stage(members.join(buckets, ["band", "key"]), "shared-buckets")
     # sizes within the threshold: a smaller multiset holds at most its own size of the larger
-    near = (F.least("n", "m") >= F.greatest("n", "m") * (threshold - 1e-9))
-    hubs = distinct.select(F.col("id").alias("hub"), F.col("n").alias("m"))
-    stars = stage(shared.filter("id <> hub").select("id", "n", "hub").distinct().join(hubs, "hub").filter(near)
-                  .select(F.col("id").alias("u"), F.col("hub").alias("v")), "star-pairs")
+    near = (F.least("n", "m") >= F.greatest("n", "m") * (threshold - 1e-9)) & may_reach("a", "b", threshold, bands * band_rows)
+    own = distinct.select("id", F.col("sketch").alias("a"))
+    other = distinct.select(F.col("id").alias("hub"), F.col("n").alias("m"), F.col("sketch").alias("b"))
+    stars = stage(shared.filter("id <> hub").select("id", "n", "hub").distinct().join(own, "id").join(other, "hub").filter(near)
+                  .select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct(), "star-pairs")
     links = stage(verified(stars, docs, width, threshold), "star-links")
     groups = components(links)
     # what is still apart within a bucket
@@ -198,14 +287,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     apart = (placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo < hi").select("band", "key"))
     rest = stage(placed.filter("id <> hub").join(apart, ["band", "key"], "left_semi").join(main, "hub", "left")
-                 .withColumn("main", F.coalesce("main", "hub")), "apart")
-    outer = rest.filter("component <> main").select("band", "key", F.col("id").alias("u"), F.col("n"), F.col("component").alias("c"))
-    inner = rest.select("band", "key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("component").alias("d"), "main")
-    more = (outer.join(inner, ["band", "key"]).filter((F.col("c") != F.col("d")) & ((F.col("d") == F.col("main")) | (F.col("u") < F.col("v"))) & near)
-            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    more = stage(more.join(stars, ["u", "v"], "left_anti"), "other-pairs")
-    if not more.isEmpty():
-        groups = components(links.unionByName(verified(more, docs, width, threshold)))
+                 .withColumn("main", F.coalesce("main", "hub")).join(own, "id"), "apart")
+    outer = rest.filter("component <> main").select("band", "key", "id", "n", "component", "a")
+    inner = rest.select("band", "key", "id", F.col("n").alias("m"), "component", F.col("a").alias("b"))
+    # members that may be similar to one of another component of their bucket
+    o, i = outer.alias("o"), inner.alias("i")
+    meet = ((F.col("o.band") == F.col("i.band")) & (F.col("o.key") == F.col("i.key")) & (F.col("o.component") != F.col("i.component")) & near)
+    outer = stage(o.join(i, meet, "left_semi").select("o.*"), "outer-members")
+    if not outer.isEmpty():
+        inner = i.join(outer.alias("o"), meet, "left_semi").select("i.*")
+        more = stage(apart_links(outer.select("band", "key", "id", "component"), inner.select("band", "key", "id", "component"),
+                                 docs, width, threshold), "other-links")
+        groups = components(links.unionByName(more))
     classes = (distinct.select("k1", "k2", "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
                .select("k1", "k2", F.coalesce("component", "id").alias("class_id")))
     found = signed.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select(F.col("id").alias("doc_id"), "class_id")

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batches
+from .common import batches, small_batches
 
 SCHEMA = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
           "loss_tokens long, ids binary")
@@ -212,7 +212,7 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[bytes]
     ``encode`` makes a tokenizing function on an executor. Tokens of ``prompt_col`` come first and bear no loss.
     """
     prompt = F.coalesce(F.col(prompt_col).cast("string"), F.lit("")) if prompt_col else F.lit("")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"), prompt.alias("prompt"))
     end = np.asarray([end_id], "<u4").tobytes()
 

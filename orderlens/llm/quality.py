@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .calibration import calibrated, isotonic
+from .common import small_batches, stage
 from .text_arrays import slices, utf8, word_hashes
 
 #: Bytes by kind, for their shares in a text.
@@ -142,13 +143,13 @@ def partition_sums(rows: DataFrame, of, blocks: int = 8) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", n_features: int = 256, width: float = 6.0,
         ridge: float = 1.0, seed: int = 11, bins: int = 1000) -> Model:
     """Fits all rows of ``labels`` (doc_id and the label); ``width`` is that of the kernel."""
+    docs = small_batches(docs)
     rng = np.random.default_rng(seed)
     known = (labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
              .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1)))
     # statistics, not texts, meet the labels
     rows = (docs.select(F.col("doc_id").alias("id"), text_statistics("text").alias("x")).join(known, "id")
             .select("x", "y", (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(5)) == 0).alias("kept")))
-    from .common import stage
     rows = stage(rows, "quality-statistics")
 
     def moments(pdf: pd.DataFrame) -> np.ndarray:

@@ -26,7 +26,7 @@ def utf8(texts) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(lengths: np.ndarray, most: int = 4 << 20) -> Iterator[slice]:
+def slices(lengths: np.ndarray, most: int = 1 << 20) -> Iterator[slice]:
     """Runs of rows with about ``most`` bytes of text, or one longer row."""
     start, size = 0, 0
     for i, n in enumerate(lengths.tolist()):

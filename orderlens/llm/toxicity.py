@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import stage
+from .common import small_batches, stage
 from .text_arrays import slices
 
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){3,}[^\W\d_](?!\S)")
@@ -227,6 +227,7 @@ def support_vector_machine(x: np.ndarray, y: np.ndarray, cost: float, rounds: in
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 16_000, order: int = 3, decay: float = 0.5,
         cost: float = 1.0, seed: int = 7) -> Model:
+    docs = small_batches(docs)
     known = (labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
              .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1))
              .orderBy(F.xxhash64("id", F.lit(seed)), "id", "y").limit(most_rows))
