@@ -222,7 +222,7 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray], at_once: int = 8192)
     return out
 
 
-def apart_links(outer: DataFrame, inner: DataFrame, docs: DataFrame, width: int, threshold: float, block: int = 128) -> DataFrame:
+def apart_links(outer: DataFrame, inner: DataFrame, docs: DataFrame, width: int, threshold: float, block: int = 512) -> DataFrame:
     """Links u, v between different components of a bucket.
 
     ``outer`` holds the members outside a bucket's main component, ``inner`` all members. Both are dealt into blocks, and
