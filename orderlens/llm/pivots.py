@@ -1,14 +1,23 @@
-"""Near-duplicate vectors by a pivot-permutation index.
+"""Near-duplicate vectors by a pivot-permutation index, exact where vectors lie close together.
 
 Reference points (pivots) are vectors of the table itself, the first by a hash of their ids; their number
-grows with the square root of the table and has a fixed upper bound. A vector is described by its ``depth``
-nearest pivots in order of nearness. Inverted lists hold, for each pivot, the vectors near it; of two vectors that
-share at least ``shared`` of their pivots one of the first depth - shared + 1 (in the order of pivot
-frequency) is shared as well, so only those lists are written. A list is cut into blocks of bounded size
-and every two blocks of a list meet in one cell, where shared pivots are counted and those with enough are
-verified by their cosine in double precision. A cell gives the number of links of each vector and a star
-of its connected parts, so its output is linear in its vectors however many pairs link. A pair counts only
-in the cell of its first common pivot.
+grows with the square root of the table and has a fixed upper bound. Of pivots that would link with each other only the
+first stays, so a dense region has one pivot or a few and not a share of all. A vector that links with its nearest
+pivot is a member of that pivot's region. All members of a region meet each other and its guests: the vectors
+that by the triangle inequality, and by their distance from the plane between their nearest pivot and this one, may
+link with a member. So every pair with a member in it is found, and of two regions only that of the lower pivot lists
+the other's members.
+
+Pairs of two vectors that are in no region, where a pivot seldom lies within linking distance, go by permutations: a
+vector is described by its ``depth`` nearest pivots in order of nearness. Inverted lists hold, for each pivot, the
+vectors near it; of two vectors that share at least ``shared`` of their pivots one of the first depth - shared + 1 (in
+the order of pivot frequency) is shared as well, so only those lists are written, and a pair counts only in the list of
+its first common pivot. Only these pairs can be missed.
+
+A list or region is cut into blocks of bounded size and every two blocks that have to meet do so in one cell, where
+pairs are verified by their cosine in double precision. A cell gives the number of links of each vector and a star
+of its connected parts, so its output is linear in its vectors however many pairs link. Where nearly all vectors are
+within twice the linking angle of each other, nearly all are guests everywhere, and the work is that of all pairs.
 
 Equal vectors are first joined into one with its number of copies (they are told apart by 128 bits of hash).
 Null or empty vectors, zero vectors and those with null or non-finite components, and rows with null ids, link
@@ -23,12 +32,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import finite_vector, stage
 from .components import components, local_roots
 
-_BLOCK = "pivot int, chunk long, n long, ids binary, copies binary, vectors binary, near binary"
+_BLOCK = "role int, pivot int, chunk long, n long, ids binary, copies binary, vectors binary, near binary"
+#: What a vector is in a list: one of those near a pivot, a member of its region, or a guest there.
+NEAR, MEMBER, GUEST = 0, 1, 2
+#: Room for single precision where a bound decides whether two vectors meet.
+_SLACK = 1e-3
 
 
 def pivot_count(n: int, least: int = 16, most: int = 1 << 15) -> int:
@@ -42,9 +55,48 @@ def _unit(rows) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def spread(points: np.ndarray, cosine: float, step: int = 256) -> np.ndarray:
+    """The unit vectors ``points`` without those that link with an earlier one that stays."""
+    kept = points[:0]
+    for start in range(0, len(points), step):
+        part = points[start:start + step]
+        if len(kept):
+            part = part[(part @ kept.T).max(axis=1) < cosine]
+        near, stays = part @ part.T >= cosine, np.zeros(len(part), bool)
+        for i in range(len(part)):
+            stays[i] = not (near[i, :i] & stays[:i]).any()
+        kept = np.concatenate([kept, part[stays]])
+    return kept
+
+
+class Regions:
+    """Where vectors are members and guests, from their inner products with the pivots."""
+
+    def __init__(self, points: np.ndarray, cosine: float):
+        self.points, self.cosine = points, cosine
+        self.reach = 2 * cosine * cosine - 1 if cosine > 0 else -1.0  # cosine of twice the linking angle
+        self.sine = np.sqrt(max(0.0, 1 - cosine * cosine)) if cosine > 0 else 1.0
+
+    def of(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The region each row is a member of (-1: none), and whether it is a guest of each."""
+        first = near.argmax(axis=1)
+        best = near[np.arange(len(near)), first]
+        home = np.where(best >= self.cosine, first, -1)
+        i, p = np.nonzero(near >= self.reach - _SLACK)
+        mine = home[i]
+        later = (mine < 0) | (mine > p)
+        i, p = i[later], p[later]
+        # members of p are at least as near to p as to this vector's nearest pivot, so on p's side of the plane between the two
+        apart = np.sqrt(np.maximum(2 - 2 * (self.points[first[i]] * self.points[p]).sum(axis=1), 0))
+        some = best[i] - near[i, p] <= self.sine * apart + _SLACK
+        guest = np.zeros(near.shape, bool)
+        guest[i[some], p[some]] = True
+        return home, guest
+
+
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("id", kind="stable")
-    return pd.DataFrame({"pivot": [int(pdf["pivot"].iloc[0])], "chunk": [int(pdf["chunk"].iloc[0])], "n": [len(pdf)],
+    return pd.DataFrame({"role": [int(pdf["role"].iloc[0])], "pivot": [int(pdf["pivot"].iloc[0])], "chunk": [int(pdf["chunk"].iloc[0])], "n": [len(pdf)],
                          "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()],
                          "vectors": [np.stack(list(pdf["vector"])).astype(np.float32).tobytes()],
                          "near": [np.stack(list(pdf["near"])).astype(np.int32).tobytes()]})
@@ -57,6 +109,12 @@ class Block:
         self.near = np.frombuffer(near, np.int32).reshape(n, -1)
 
 
+def linked_in_region(a: Block, b: Block, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all linking pairs of two blocks."""
+    close = a.unit @ b.unit.T >= cosine
+    return np.nonzero(np.triu(close, 1) if same else close)
+
+
 def linked(a: Block, b: Block, same: bool, pivot: int, prefix: int, shared: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of the linking pairs of two blocks of a pivot's list whose first common listed pivot it is."""
     names, code = np.unique(np.concatenate([a.near, b.near]), return_inverse=True)
@@ -111,22 +169,23 @@ def _links(distinct: DataFrame, cosine: float, depth: int, shared: int, block_ro
     """id, links, root: for each cell and vector with links, their number and a vector of the same component."""
     n = distinct.count()
     chosen = distinct.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(pivot_count(n)).select("vector").collect()
-    points = _unit([r.vector for r in chosen]).astype(np.float32)
+    points = spread(_unit([r.vector for r in chosen]).astype(np.float32), cosine)
+    regions = Regions(points, cosine)
     depth = min(depth, len(points))
     shared = min(shared, depth)
     prefix = depth - shared + 1
 
-    def nearest(pdf: pd.DataFrame) -> np.ndarray:
-        near = _unit(pdf["vector"]).astype(np.float32) @ points.T
-        return np.argsort(-near, axis=1, kind="stable")[:, :depth].astype(np.int32)
-
     def describe(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             if len(pdf):
-                yield pdf[["id", "copies", "vector"]].assign(near=list(nearest(pdf)))
+                near = _unit(pdf["vector"]).astype(np.float32) @ points.T
+                home, guest = regions.of(near)
+                order = np.argsort(-near, axis=1, kind="stable")[:, :depth].astype(np.int32)
+                yield pdf[["id", "copies", "vector"]].assign(home=home.astype(np.int32), guest=[np.flatnonzero(g).astype(np.int32) for g in guest],
+                                                             near=[x if h < 0 else x[:0] for x, h in zip(order, home)])
 
     described = stage(distinct.select("id", "copies", "vector").mapInPandas(
-        describe, "id long, copies long, vector array<float>, near array<int>"), "pivot-permutations")
+        describe, "id long, copies long, vector array<float>, home int, guest array<int>, near array<int>"), "pivot-permutations")
     # number pivots from the rarest list to the longest
     length = {r.pivot: r["count"] for r in described.select(F.explode("near").alias("pivot")).groupBy("pivot").count().collect()}
     order = np.full(len(points), len(points))
@@ -138,28 +197,42 @@ def _links(distinct: DataFrame, cosine: float, depth: int, shared: int, block_ro
             if len(pdf):
                 yield pdf.assign(near=[np.sort(order[x]).astype(np.int32) for x in pdf["near"]])
 
-    listed = (described.mapInPandas(renamed, described.schema)
-              .withColumn("pivot", F.explode(F.slice("near", 1, prefix))))
-    counts = {r.pivot: r["count"] for r in listed.groupBy("pivot").count().collect()}
-    chunks = F.element_at(F.create_map(*[F.lit(x) for p, c in counts.items() for x in (p, math.ceil(c / block_rows))]), F.col("pivot")) \
-        if any(c > block_rows for c in counts.values()) else F.lit(1)
-    blocks = stage(listed.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(seed)), chunks.cast("long")))
-                   .select("pivot", "chunk", "id", "copies", "vector", "near")
-                   .groupBy("pivot", "chunk").applyInPandas(_pack, _BLOCK), "pivot-blocks")
-    last = chunks.cast("long") - 1
-    left = blocks.withColumn("other", F.explode(F.sequence(F.col("chunk"), last)))
-    right = blocks.withColumn("left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunk"))))
-    right = right.select("pivot", F.col("left").alias("chunk"), F.col("chunk").alias("other"),
+    rows = described.select("id", "copies", "vector", "near")
+    lists = (rows.filter(F.size("near") > 0).mapInPandas(renamed, rows.schema)
+             .select(F.lit(NEAR).alias("role"), F.explode(F.slice("near", 1, prefix)).alias("pivot"), "id", "copies", "vector", "near"))
+    none = F.array().cast("array<int>").alias("near")
+    members = described.filter("home >= 0").select(F.lit(MEMBER).alias("role"), F.col("home").alias("pivot"), "id", "copies", "vector", none)
+    guests = described.select(F.lit(GUEST).alias("role"), F.explode("guest").alias("pivot"), "id", "copies", "vector", none)
+    listed = lists.unionByName(members).unionByName(guests)
+    chunked = {(r.role, r.pivot): math.ceil(r["count"] / block_rows) for r in listed.groupBy("role", "pivot").count().filter(F.col("count") > block_rows).collect()}
+
+    def chunks(role: int) -> Column:
+        """Blocks of the list of ``pivot`` in that role; those with one block are not named."""
+        of = [F.lit(x) for (r, p), c in chunked.items() if r == role for x in (p, c)]
+        return (F.coalesce(F.create_map(*of)[F.col("pivot")], F.lit(1)) if of else F.lit(1)).cast("long")
+
+    mine = F.when(F.col("role") == NEAR, chunks(NEAR)).when(F.col("role") == MEMBER, chunks(MEMBER)).otherwise(chunks(GUEST))
+    blocks = stage(listed.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(seed)), mine))
+                   .select("role", "pivot", "chunk", "id", "copies", "vector", "near")
+                   .groupBy("role", "pivot", "chunk").applyInPandas(_pack, _BLOCK), "pivot-blocks")
+    zero = F.lit(0).cast("long")
+    inside = blocks.filter(F.col("role") != GUEST)
+    left = inside.withColumn("o_role", F.col("role")).withColumn("other", F.explode(F.sequence(F.col("chunk"), mine - 1)))
+    left = left.unionByName(blocks.filter(F.col("role") == MEMBER).withColumn("o_role", F.lit(GUEST))
+                            .withColumn("other", F.explode(F.sequence(zero, chunks(GUEST) - 1))))
+    right = inside.withColumn("left", F.explode(F.sequence(zero, F.col("chunk")))).unionByName(
+        blocks.filter(F.col("role") == GUEST).withColumn("left", F.explode(F.sequence(zero, chunks(MEMBER) - 1))))
+    right = right.select(F.col("role").alias("o_role"), "pivot", F.col("left").alias("chunk"), F.col("chunk").alias("other"),
                          *[F.col(c).alias(f"o_{c}") for c in ("n", "ids", "copies", "vectors", "near")])
-    cells = left.join(right, ["pivot", "chunk", "other"])
+    cells = left.join(right, ["o_role", "pivot", "chunk", "other"])
 
     def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for r in pdf.itertuples(index=False):
-                same = r.chunk == r.other
+                same = r.role == r.o_role and r.chunk == r.other
                 a = Block(r.n, r.ids, r.copies, r.vectors, r.near)
                 b = a if same else Block(r.o_n, r.o_ids, r.o_copies, r.o_vectors, r.o_near)
-                i, j = linked(a, b, same, r.pivot, prefix, shared, cosine)
+                i, j = linked(a, b, same, r.pivot, prefix, shared, cosine) if r.role == NEAR else linked_in_region(a, b, same, cosine)
                 if not len(i):
                     continue
                 if not same:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from orderlens.llm import components as cc
@@ -52,6 +53,42 @@ def test_pivot_index_recall_and_groups(spark):
     assert same > 0.95 and all(x.kept == (x.vec_id == x.component_id) for x in got.values())
 
 
+def dense(n, dims=64, seed=8):
+    """One group with a third of all vectors (pair cosines about 0.9 to 1), the rest far apart or in small groups."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=dims)
+    x = rng.normal(size=(n, dims))
+    m = n // 3
+    x[:m] = base + rng.normal(size=(m, dims)) * rng.uniform(0.05, 0.33, (m, 1))
+    x[m:m + 2000] = x[n - 200 + np.arange(2000) % 200] + rng.normal(size=(2000, dims)) * 0.1
+    return x.astype(np.float32)
+
+
+def test_pivot_index_finds_all_pairs_of_a_dense_group(spark):
+    x = dense(50_000)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<float>")
+    got = pivots.near_duplicates(df).select("vec_id", "n_links").toPandas().set_index("vec_id")["n_links"].sort_index().to_numpy()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.concatenate([(u[i:i + 1000] @ u.T >= 0.9).sum(axis=1) - 1 for i in range(0, len(u), 1000)])
+    m = len(x) // 3
+    assert want[:m].sum() > 10**8 and (got[:m] == want[:m]).mean() > 0.999 and (got <= want + 1).all()
+    assert got[m:].sum() >= 0.95 * want[m:].sum()
+
+
+def test_every_link_of_a_member_meets_in_one_region():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(5, 6))
+    x = pivots._unit(centres[np.arange(3000) % 5] + rng.normal(size=(3000, 6)) * 0.5).astype(np.float32)
+    points = pivots.spread(x[:40], 0.9)
+    assert 1 < len(points) < 40 and (np.triu(points @ points.T, 1) < 0.9).all() and ((x[:40] @ points.T).max(axis=1) >= 0.9 - 1e-6).all()
+    home, guest = pivots.Regions(points, 0.9).of(x @ points.T)
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    meet = sum(((home[a] == p) & (guest[b, p] | (home[b] == p))).astype(int) for p in range(len(points)) for a, b in [(i, j)])
+    meet = meet + sum(((home[j] == p) & guest[i, p]).astype(int) for p in range(len(points)))
+    some = (home[i] >= 0) | (home[j] >= 0)
+    assert (meet[some] == 1).all() and (meet[~some] == 0).all() and 0 < some.mean()
+
+
 def test_pivot_index_on_odd_vectors(odd_vectors, no_vectors):
     assert pivots.near_duplicates(no_vectors).count() == 0
     rows = pivots.near_duplicates(odd_vectors).collect()
