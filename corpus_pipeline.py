@@ -37,8 +37,12 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences with their token ids."""
-    return packing.pack(docs, packing.word_tokens)
+    """Pieces of the packed sequences with their token ids; sequence ids ascend by task as the mixture runs.
+
+    Files come back in no order, so the rows are sorted again: their slots follow from the rows alone. The tasks of
+    a sort are ranges of the mixture, numbered in its order, and packing takes a task's rows as they come.
+    """
+    return packing.pack(mixing.in_order(mixing.mix(docs)), packing.word_tokens)
 
 
 STAGES = [("quality_classifier", quality_classifier), ("minhash_near_dedup", minhash_near_dedup), ("secret_scans", secret_scans),

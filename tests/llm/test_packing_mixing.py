@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from orderlens.llm import mixing, packing
 
 
@@ -85,3 +86,24 @@ def test_mixing_keeps_odd_rows(odd_docs, no_docs):
     out = mixing.in_order(mixing.mix(odd_docs))
     assert out.columns == odd_docs.columns
     assert sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
+
+
+def test_sequences_follow_the_mixture_over_several_files(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(i, " ".join(f"w{r.randint(0, 99)}" for _ in range(r.choice([50, 300, 900]))), "hot" if i % 3 else f"s{i % 7}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rank = {x.doc_id: n for n, x in enumerate(mixing.in_order(mixing.mix(docs)).select("doc_id").collect())}
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        corpus_pipeline.source_mixing(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+        packed = corpus_pipeline.sequence_packing(spark, spark.read.parquet(str(tmp_path / "mixed")), "").select("doc_id", "sequence_id").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    parts = defaultdict(set)
+    for x in packed:
+        parts[x.sequence_id // packing.TASK_STRIDE].add(rank[x.doc_id])
+    assert len(parts) > 3 and [n for k in sorted(parts) for n in sorted(parts[k])] == list(range(len(rows)))
