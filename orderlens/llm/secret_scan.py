@@ -1,8 +1,8 @@
 """Secret scan: candidates by their shape, and a random forest that takes out false positives.
 
-A candidate is a run of at least 12 key-like characters with a digit among them or a provider's prefix; of ``name=value`` the value
-counts. The forest (Spark's own) sees its length, letters and digits, changes between kinds of characters,
-how much of it dictionary words cover, path marks, and the words around it. The dictionary holds the most
+A candidate is a run of at least 12 key-like characters with a digit among them or a provider's prefix (of ``name=value`` the value
+counts), or any quoted or unbroken value of at least 6 characters after the name of a credential and = or :. The
+forest (Spark's own) sees its length, letters and digits, changes between kinds of characters, how much of it dictionary words cover, path marks, and the words around it. The dictionary holds the most
 frequent words of all documents. The forest is trained on labelled findings, at most ``most_findings`` of them,
 in the order of a hash. Where no one has labelled findings, ``labelled_by_format`` labels those that a
 provider's format, or an address or number format, settles; the forest then judges all candidates
@@ -30,29 +30,51 @@ SECRET_WORDS = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_k
                 "credential", "private_key", "client_secret", "key"]
 OTHER_WORDS = ["sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "uuid", "guid", "hash", "mail", "phone",
                "isbn", "version", "card", "order", "invoice"]
+#: The name of a credential up to the value given to it, and such a value with its quotes or without.
+LEAD = r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|credentials?|(?:api|access|private|secret)[_-]?key|(?<![a-z])(?:key|auth|bearer))[\"'`]?[ \t]{0,8}[=:]{1,2}[ \t]{0,8}"
+GIVEN = LEAD + r"(?:\"[^\"\n]{6,200}+\"|'[^'\n]{6,200}+'|`[^`\n]{6,200}+`|[\"'`]?[^\s\"'`]{6,}+)"
 FEATURES = ["size", "digits", "uppers", "lowers", "hexes", "turns", "case_turns", "distinct_chars", "covered", "slashes", "dots",
             "ats", "dashes", "prefixed", "assigned", "quoted", "secret_words", "other_words", "before_letters", "after_letters"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, value, name, first_at, times, before, after: distinct candidate values of each document."""
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
-    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("found", found)
-
-    def around(c: Column) -> Column:
+    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({
+        "found": F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))),
+        "given": F.array_distinct(F.regexp_extract_all("text", F.lit(GIVEN), F.lit(0)))})
+
+    def times(c: Column) -> Column:
+        return ((F.length("text") - F.length(F.replace(F.col("text"), c, F.lit("")))) / F.greatest(F.length(c), F.lit(1))).cast("int")
+
+    def before(at: Column) -> Column:
+        return F.substring(F.col("text"), F.greatest(at - 48, F.lit(1)), F.least(at - 1, F.lit(48)))
+
+    def after(at: Column, c: Column) -> Column:
+        return F.substring(F.col("text"), at + F.length(c), F.lit(32))
+
+    def given(c: Column) -> Column:
+        lead = F.regexp_extract(c, f"^{LEAD}[\"'`]?", 0)
+        value = F.regexp_replace(F.regexp_replace(F.substring(c, F.length(lead) + 1, F.length(c)), "[\"'`]$", ""), r"[.,;:)\]}]+$", "")
+        at = F.position(c, F.col("text")) + F.length(lead)
+        return F.struct(value.alias("value"), F.lit("").alias("name"), at.alias("at"), times(value).alias("times"),
+                        before(at).alias("before"), after(at, value).alias("after"))
+
+    def run(c: Column) -> Column:
+        parts = r"^([A-Za-z][A-Za-z0-9_.-]*)=(.{6,})$"
+        named = F.regexp_extract(c, parts, 1)
+        value = F.regexp_replace(F.when(named != "", F.regexp_extract(c, parts, 2)).otherwise(c), "[.]+$", "")
         at = F.position(c, F.col("text"))
-        return F.struct(
-            c.alias("whole"), at.alias("at"),
-            ((F.length("text") - F.length(F.replace(F.col("text"), c, F.lit("")))) / F.length(c)).cast("int").alias("times"),
-            F.substring(F.col("text"), F.greatest(at - 48, F.lit(1)), F.least(at - 1, F.lit(48))).alias("before"),
-            F.substring(F.col("text"), at + F.length(c), F.lit(32)).alias("after"))
+        return F.struct(value.alias("value"), F.lower(named).alias("name"), at.alias("at"), times(c).alias("times"),
+                        before(at).alias("before"), after(at, c).alias("after"))
 
-    each = rows.filter(F.size("found") > 0).select("doc_id", F.explode(F.transform("found", around)).alias("c"))
-    named = F.regexp_extract("c.whole", r"^([A-Za-z][A-Za-z0-9_.-]*)=(.{6,})$", 1)
-    value = F.when(named != "", F.regexp_extract("c.whole", r"^([A-Za-z][A-Za-z0-9_.-]*)=(.{6,})$", 2)).otherwise(F.col("c.whole"))
-    value = F.regexp_replace(value, "[.]+$", "")
-    return each.select("doc_id", value.alias("value"), F.lower(named).alias("name"), F.col("c.at").alias("first_at"),
-                       F.col("c.times").alias("times"), F.col("c.before").alias("before"), F.col("c.after").alias("after"))
+    # a value that both forms give counts once, with the words around it where it is given
+    each = (rows.filter((F.size("found") > 0) | (F.size("given") > 0))
+            .withColumn("given", F.filter(F.transform("given", given), lambda x: F.length(x["value"]) >= 6))
+            .withColumn("values", F.transform("given", lambda x: x["value"]))
+            .withColumn("given", F.filter("given", lambda x, i: F.array_position("values", x["value"]) == i + 1))
+            .withColumn("found", F.filter(F.transform("found", run), lambda x: ~F.array_contains("values", x["value"])))
+            .select("doc_id", F.explode(F.concat("given", "found")).alias("c")))
+    return each.select("doc_id", "c.value", "c.name", F.col("c.at").alias("first_at"), "c.times", "c.before", "c.after")
 
 
 def dictionary(docs: DataFrame, most: int = 600, shortest: int = 3, longest: int = 8) -> list[str]:
@@ -94,11 +116,18 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
 def labelled_by_format(found: DataFrame) -> DataFrame:
     """Findings with ``label`` where their format settles it."""
     name = F.concat_ws(" ", F.lower("before"), F.nullif(F.col("name"), F.lit("")))
+    credential = name.rlike(r"(password|passwd|passphrase|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key)[\"'`]?(\s*[=:]+\s*[\"'`]?)?$")
     provider = F.col("value").rlike(r"^AKIA[A-Z0-9]{16}$")
     given = (name.rlike(r"(password|passwd|secret|token|api_?key)(\s*[=:]\s*[\"']?)?$") & ~F.col("value").rlike("[.@/]")
              & F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]"))
     address = F.col("value").rlike(r"@|^[0-9.+-]+$|^[0-9]+(\.[0-9]+)+$|\.(com|net|org|html?)")
-    return found.withColumn("label", F.when(address, 0.0).when(provider | given, 1.0)).filter("label is not null")
+    # after a credential's name marks and figures settle nothing, but a whole address, a reference or plain words do
+    other = (F.col("value").rlike(r"^([a-z]+://)?[A-Za-z0-9._+-]+(@[A-Za-z0-9-]+)?\.(com|net|org|html?)(/|$)|^(\$|<|\{\{|%[(A-Z])")
+             | ((F.col("quoted") == 0) & (F.col("covered") >= 1) & (F.col("turns") == 0)))
+    harmless = F.when(credential, other).otherwise(address)
+    # nor does a value need figures: in quotes, or longer than words are, it is what the name says
+    plain = (credential & ((F.col("quoted") > 0) | (F.col("size") >= 16)) & (F.col("covered") < 0.5) & ~F.col("value").rlike(r"[\s()\[\]./]"))
+    return found.withColumn("label", F.when(harmless, 0.0).when(provider | given | plain, 1.0)).filter("label is not null")
 
 
 def fit(labelled: DataFrame, most_findings: int = 20_000, trees: int = 30, depth: int = 6, seed: int = 3) -> RandomForestClassificationModel | None:

@@ -216,3 +216,25 @@ def test_secrets_are_found_and_redacted(spark, odd_docs, no_docs):
     out = secret_scan.redact(odd_docs)
     assert out.columns == odd_docs.columns and sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
     assert secret_scan.scan(no_docs).count() == 0 and secret_scan.redact(no_docs).count() == 0
+
+
+def test_short_and_plain_secrets_after_a_credential_name(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 8)))
+    given = {1000: ('password = "hunter2ab"', "hunter2ab"), 1001: ("secret: correcthorsebatterystaple", "correcthorsebatterystaple"),
+             1002: ('token = "qWErtyUIopASdfGHjklZXcvBNm"', "qWErtyUIopASdfGHjklZXcvBNm"), 1003: ('password = "Tr0ub4dor&3x!9QzLm"', "Tr0ub4dor&3x!9QzLm"),
+             1004: ("DB_PASSWORD=hunter2ab", "hunter2ab"), 1005: ("'api_key': 'Zq7&fj,2!x'", "Zq7&fj,2!x")}
+    rows = []
+    for i in range(200):
+        hexes = "".join(r.choice("0123456789abcdef") for _ in range(40))
+        put = [f'token = "{hexes}"', f"commit {hexes}", f"user{i}name@mail{i}.example.com", 'the password = "' + hexes[:9] + 'x1"', "token: ${API_TOKEN}"][i % 5]
+        rows.append((i, " ".join([*(word() for _ in range(20)), put, *(word() for _ in range(20))])))
+    rows += [(i, " ".join([*(word() for _ in range(20)), t, *(word() for _ in range(20))])) for i, (t, _) in given.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(x.doc_id, x.value): x for x in secret_scan.scan(docs).collect()}
+    texts = dict(rows)
+    for i, (_, value) in given.items():
+        assert found[i, value].secret and texts[i][found[i, value].first_at - 1:].startswith(value), (i, found[i, value])
+    assert not any(x.secret for x in found.values() if "example.com" in x.value or "$" in x.value)
+    clean = {x.doc_id: x.text for x in secret_scan.redact(docs).collect()}
+    assert all("[SECRET]" in clean[i] and value not in clean[i] for i, (_, value) in given.items())
