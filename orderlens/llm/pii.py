@@ -66,17 +66,36 @@ def _symbols() -> dict[int, str]:
 
 
 _TABLE = _symbols()
-_ODD = re.compile("[" + "".join(re.escape(chr(p)) for p in sorted(_TABLE)) + "]+")
+_ODD = re.compile("[^\x00-\x7fÀ-ÿ]+")  # all of the table and more
 
-_WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
-_PIECE = re.compile(rf"([0-9]+)|({_WORD})|(?:{_DASH}|{_DOT})", re.I)
-_RUN = re.compile(rf"(?<![^\W_])(?:{_WORD}|[0-9]++)(?![^\W_])(?:[\s,;\-]{{1,3}}(?:{_WORD}|[0-9]++|{_DASH}|{_DOT})(?![^\W_]))++", re.I)
-_LETTER = re.compile(r"[0-9][OolI|]|[OolI|](?=[0-9])")
+
+def _lower(text: str) -> str:
+    """Lower case, symbol by symbol, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern of words by their first letters, longer words first."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(words, key=len, reverse=True):
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items())
+
+
+# patterns of lower-cased text; those that every text is searched for begin with a class of few symbols where they can
+_WORD = _any_of(list(_DIGITS))
+_PIECE = re.compile(rf"([0-9]+)|({_WORD})|(?:{_DASH}|{_DOT})")
+_RUN = re.compile(rf"\b(?:{_WORD}|[0-9]++)\b(?:[\s,;\-]{{1,3}}(?:{_WORD}|[0-9]++|{_DASH}|{_DOT})\b)++")
+_LETTER = re.compile(r"[0-9](?:[OolI|]|(?<=[OolI|][0-9]))")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9])[OolI|]*+[0-9][0-9OolI|]*+(?![A-Za-z0-9])")
 _PLUS = re.compile(r"(?<![^\W_])plus\s{1,3}(?=\(?[0-9])", re.I)
 _DASH_WORD = re.compile(rf"(?<=[0-9])\s{{1,3}}(?:{_DASH})\s{{1,3}}(?=[0-9])", re.I)
 _DOT_WORD = re.compile(rf"(?<=[0-9])\s{{1,3}}(?:{_DOT})\s{{1,3}}(?=[0-9])", re.I)
-_BRACKETS = re.compile(rf"[\[({{<]\s{{0,3}}(?:({_AT}|@)|(?:{_DOT}|\.))\s{{0,3}}[\])}}>]|&(?:(#64|#x40|commat)|#46|#x2e|period);|(?<=[A-Za-z0-9])(%40)|_({_AT})_|_(?:{_DOT})_", re.I)
+_BRACKETS = re.compile(rf"[\[({{<]\s{{0,3}}(?:({_AT}|@)|(?:{_DOT}|\.))\s{{0,3}}[\])}}>]")
+#: other marks, and a symbol that a text with one holds
+_CODED = (("&", re.compile("&(?:(#64|#x40|commat)|#46|#x2e|period);")), ("%40", re.compile("(%40)")),
+          ("_", re.compile(rf"_(?:({_AT})|{_DOT})_")))
 _PART = r"(?:\s{1,3}|[-_])"
 _LABEL = rf"[A-Za-z0-9]++(?:-(?!(?:{_DOT})-)[A-Za-z0-9]++)*+"
 _BARE_DOT = re.compile(rf"{_PART}(?:{_DOT}){_PART}", re.I)
@@ -88,7 +107,7 @@ _SPACED_DOT = re.compile(r"\s{1,3}\.\s{0,3}|\.\s{1,3}")
 _SPACED_NAME = re.compile(rf"[A-Za-z0-9\-]++(?:\s{{0,3}}\.\s{{0,3}}[A-Za-z0-9\-]++)*?\s{{0,3}}\.\s{{0,3}}(?:{_ENDINGS})(?![A-Za-z0-9\-])", re.I)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -116,7 +135,7 @@ def detect(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of a text as it stands, by kind and place."""
     out = [(0, a, b) for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        parts = [p.lstrip("0") for p in m.groups()]
+        parts = [p.lstrip("0") for p in m.group().split(".")]
         if all(len(p) < 4 and int(p or "0") < 256 for p in parts):
             out.append((1, *m.span()))
     for m in _CARD.finditer(text):
@@ -175,7 +194,7 @@ def symbols(text: str) -> Edited:
     """First transducer: single symbols."""
     edits = []
     for m in _ODD.finditer(text):
-        edits += [(i, i + 1, _TABLE[ord(text[i])]) for i in range(*m.span())]
+        edits += [(i, i + 1, _TABLE[ord(text[i])]) for i in range(*m.span()) if ord(text[i]) in _TABLE]
     return Edited(text, edits)
 
 
@@ -190,13 +209,13 @@ def _merged(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     """Spelled digits next to another one, or between digits, without what parts two of them."""
-    edits = []
+    edits, text = [], _lower(text)
     for run in _RUN.finditer(text):
         # (start, end, digit or None for plain digits); a dash or dot word stands between digits as nothing does
         pieces, apart = [], []
         for m in _PIECE.finditer(text, *run.span()):
             if m.group(1) or m.group(2):
-                pieces.append((*m.span(), _DIGITS[m.group(2).lower()] if m.group(2) else None))
+                pieces.append((*m.span(), _DIGITS[m.group(2)] if m.group(2) else None))
                 apart.append(False)
             elif apart:
                 apart[-1] = True
@@ -240,8 +259,12 @@ def _plain(text: str, at: int) -> bool:
 
 def _signs(text: str) -> list[tuple[int, int, str]]:
     """At and dot: in brackets or coded wherever they join names, as bare words or apart only in front of a known ending."""
-    low, edits, ats = text.lower(), [], []
-    for m in _BRACKETS.finditer(text):
+    low, edits, ats = _lower(text), [], []
+    marks = [m for m in _BRACKETS.finditer(low)]
+    for symbol, pattern in _CODED:
+        if symbol in low:
+            marks += pattern.finditer(low)
+    for m in marks:
         start, end = m.span()
         while start and text[start - 1].isspace() and m.start() - start < 3:
             start -= 1
