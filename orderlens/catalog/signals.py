@@ -182,8 +182,9 @@ def _(spark, sf):
     m = M(spark, sf)
     fam = m.family_profile.filter(F.col("adoption_rate") >= E.peer_adoption).select("segment", "family")
     per = fam.join(sg.family_pool(m.engine_products, E.family_pool).select("family", "item_id"), "family")
-    fan = salted_join(m.profile.select("cust_id", "segment"), per, ["segment"], ["cust_id"])
-    return fan.groupBy("cust_id").agg(F.count(F.lit(1)).alias("n_candidates"))
+    # all customers of a segment have its offers, so they are counted once
+    per = per.groupBy("segment").agg(F.count(F.lit(1)).alias("n_candidates"))
+    return salted_join(m.profile.select("cust_id", "segment"), per, ["segment"], ["cust_id"]).select("cust_id", "n_candidates")
 
 
 def _signal_query(number, name):

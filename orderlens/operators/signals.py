@@ -4,12 +4,18 @@ Every signal is candidates -> customer profile -> eligible products -> affordabi
 (not in history) -> specialty -> score -> best k per customer. Candidates carry ids and
 score parts only; descriptions join after the final top-n. The number of candidates per
 customer is bounded by the caps on history, partners and pool of each signal.
+
+Offers that are the same for many customers (``peer_gap``, ``popularity``) are scored once per cell of customers and
+walked from the best down: see ``walk``.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +23,7 @@ from ..functions import ranking as rk
 from ..functions.columns import clip, half_up
 from ..functions.skew import salted_join
 from ..params import EngineParams
+from ..session import stage
 
 OUTPUT = ("cust_id", "item_id", "primary_signal", "confidence_tier", "numeric_score",
           "peer_adoption_rate", "specialty_match")
@@ -58,7 +65,7 @@ def with_own_items(customers: DataFrame, history: DataFrame, pool: DataFrame) ->
     """Customers with the pool items they already buy as an array.
 
     The pool has a fixed number of items of every family, so the array is bounded by the catalogue and by
-    what a customer has bought. It lets a fan-out of customers over the pool drop bought items in place.
+    what a customer has bought. It lets a join of customers with offers drop bought items in place.
     """
     own = history.select("cust_id", "item_id").join(pool.select("item_id"), "item_id", "left_semi").groupBy("cust_id").agg(
         F.collect_list("item_id").alias("own"))
@@ -86,16 +93,68 @@ _PROFILE = ("cust_id", "segment", "market_clean", "size_tier", "specialty", "aff
 _PRODUCT = ("item_id", "n_buyers", "buyer_affordability_p10", "is_private_brand")
 
 
-def _finish(candidates: DataFrame, signal: str, base: Column, private: Column | float, life: Column | float,
-            boost: float, tier: Column, k: int, peer: Column | float = 0.0, tie: Sequence[str] = ()) -> DataFrame:
-    """Score, keep the best k per customer, and give the rows the common columns."""
+def _scored(candidates: DataFrame, signal: str, base: Column, private: Column | float, life: Column | float, boost: float,
+            tier: Column, peer: Column | float = 0.0) -> DataFrame:
     as_col = lambda x: x if isinstance(x, Column) else F.lit(float(x))
     out = candidates.withColumn("numeric_score", half_up(base + as_col(private) + as_col(life) + F.lit(boost), 6))
-    out = out.withColumns({"primary_signal": F.lit(signal), "confidence_tier": tier, "peer_adoption_rate": as_col(peer)})
-    keep = out.select(*OUTPUT, *[t for t in tie if t not in OUTPUT])
+    return out.withColumns({"primary_signal": F.lit(signal), "confidence_tier": tier, "peer_adoption_rate": as_col(peer)})
+
+
+def _best(scored: DataFrame, k: int, tie: Sequence[str] = ()) -> DataFrame:
+    keep = scored.select(*OUTPUT, *[t for t in tie if t not in OUTPUT])
     return rk.top_k(keep, ["cust_id"], [F.desc("numeric_score"), "item_id", *tie], k).select(*OUTPUT)
 
 
+def _finish(candidates: DataFrame, signal: str, base: Column, private: Column | float, life: Column | float,
+            boost: float, tier: Column, k: int, peer: Column | float = 0.0, tie: Sequence[str] = ()) -> DataFrame:
+    """Score, keep the best k per customer, and give the rows the common columns."""
+    return _best(_scored(candidates, signal, base, private, life, boost, tier, peer), k, tie)
+
+
+_OFFER = ("item_id", "primary_signal", "confidence_tier", "numeric_score", "peer_adoption_rate", "specialty_match")
+
+
+def _reach(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The offers of a cell that are among the first ``wanted`` affordable ones for some limit, best first, each with
+    the limits for which it is: from its price up to the price at which as many better offers are affordable."""
+    pdf = pdf.sort_values(["numeric_score", "item_id"], ascending=[False, True], kind="stable")
+    wanted = k << int(pdf["_class"].iloc[0])
+    cheapest: list[float] = []  # negated prices of the ``wanted`` cheapest offers so far
+    keep, until = [], []
+    for price in pdf["_price"].tolist():
+        bound = -cheapest[0] if len(cheapest) == wanted else math.inf
+        keep.append(price < bound)
+        until.append(bound)
+        if len(cheapest) < wanted:
+            heapq.heappush(cheapest, -price)
+        elif price < bound:
+            heapq.heapreplace(cheapest, -price)
+    return pdf.assign(_until=until)[keep]
+
+
+def walk(customers: DataFrame, offers: DataFrame, cell: Sequence[str], k: int, p: EngineParams) -> DataFrame:
+    """The best k affordable offers of their cell for customers, without those they buy.
+
+    ``customers`` holds cust_id, the cell, affordability_ceiling and ``own`` and is a stored table; ``offers`` holds the cell and scored offers, whose score
+    is the same for all customers of the cell. Offers are sorted once a cell. What a customer can see of that order
+    depends on their limit alone: an offer counts from its price on, until k better ones are affordable. So each
+    offer carries an interval of limits, offers with an empty one go, and a customer meets only the k offers whose interval
+    holds their limit (k twice or more for those who buy some of them, by powers of two), not all of the cell.
+    """
+    limit = F.greatest("affordability_ceiling", F.lit(p.ceiling_floor)) * p.grace
+    needed = (k + F.greatest(F.size("own"), F.lit(0))) / k
+    asked = customers.select("cust_id", *cell, "own", limit.alias("_limit"), F.ceil(F.log2(needed)).cast("int").alias("_class"))
+    cells = asked.select(*cell, "_class").distinct()
+    priced = offers.withColumn("_price", F.col("buyer_affordability_p10").cast("double")).filter(F.col("_price").isNotNull())
+    rows = cells.join(priced.select(*cell, "_price", *_OFFER), list(cell))
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in rows.columns) + ", _until double"
+    reach = rows.groupBy(*cell, "_class").applyInPandas(lambda pdf: _reach(pdf, k), schema)
+    seen = salted_join(asked, reach, [*cell, "_class"], ["cust_id"]).filter(
+        (F.col("_price") <= F.col("_limit")) & (F.col("_limit") < F.col("_until")))
+    return _best(seen.filter(not_own()), k)
+
+
 def _private(weight: float) -> Column:
     return F.coalesce("is_private_brand", F.lit(0)) * weight
 
@@ -122,13 +181,14 @@ def peer_gap(profile: DataFrame, family_profile: DataFrame, products: DataFrame,
              history: DataFrame, p: EngineParams) -> DataFrame:
     families = family_profile.filter(F.col("adoption_rate") >= p.peer_adoption).select("segment", "family", "adoption_rate")
     pool = family_pool(products, p.family_pool).select(*_PRODUCT, "family")
-    # segment x family x product is catalogue-sized; customers meet it once, on the segment
+    # segment x family x product is catalogue-sized
     offers = families.join(pool, "family").drop("family")
-    warm = with_own_items(profile.filter("is_cold_start = 0").select(*_PROFILE), history, pool)
-    c = specialty_match(salted_join(warm, offers, ["segment"], ["cust_id"]).filter(affordable(p) & not_own()).drop("own"), specialty, p)
-    return _finish(c, "peer_gap", F.col("adoption_rate") * F.log1p("n_buyers") * F.col("mult"), _private(0.5), _dec(0.3), 0.0,
-                   _tier((F.col("specialty_match") == "match") & (F.col("adoption_rate") >= 0.5)), p.per_signal,
-                   F.col("adoption_rate"))
+    warm = stage(with_own_items(profile.filter("is_cold_start = 0").select(*_PROFILE), history, pool), "warm")
+    cell = ("segment", "specialty", "is_declining")
+    c = specialty_match(warm.select(*cell).distinct().join(offers, "segment"), specialty, p)
+    c = _scored(c, "peer_gap", F.col("adoption_rate") * F.log1p("n_buyers") * F.col("mult"), _private(0.5), _dec(0.3), 0.0,
+                _tier((F.col("specialty_match") == "match") & (F.col("adoption_rate") >= 0.5)), F.col("adoption_rate"))
+    return walk(warm, c, cell, p.per_signal, p)
 
 
 def cold_start_pool(cells: DataFrame, products: DataFrame, markets: Sequence[str], sizes: Sequence[str],
@@ -166,11 +226,12 @@ def popularity_recs(profile: DataFrame, products: DataFrame, specialty: DataFram
     cold = profile.filter("is_cold_start = 1").select(*_PROFILE)
     pool = cold_start_pool(cold.select("market_clean", "size_tier").distinct(), products, markets, sizes, p)
     offers = pool.join(products.select(*_PRODUCT), "item_id")
-    cold = with_own_items(cold, history, pool.select("item_id").distinct())
-    c = salted_join(cold, offers, ["market_clean", "size_tier"], ["cust_id"]).filter(affordable(p) & not_own()).drop("own")
-    c = specialty_match(c, specialty, p)
+    cold = stage(with_own_items(cold, history, pool.select("item_id").distinct()), "cold")
+    cell = ("market_clean", "size_tier", "specialty")
+    c = specialty_match(cold.select(*cell).distinct().join(offers, ["market_clean", "size_tier"]), specialty, p)
     match = F.when(F.col("specialty_match") == "match", 0.5).otherwise(0.0)
-    return _finish(c, "popularity", F.col("popularity_score"), _private(0.3), match, 0.0, F.lit("medium"), p.per_signal)
+    c = _scored(c, "popularity", F.col("popularity_score"), _private(0.3), match, 0.0, F.lit("medium"))
+    return walk(cold, c, cell, p.per_signal, p)
 
 
 def top_history(history: DataFrame, k: int) -> DataFrame:
