@@ -10,7 +10,7 @@ from ..plans import driver_tables as d
 from ..plans.model import Model
 from . import dashboards, profiling  # noqa: F401  (their subqueries)
 from .base_sql import words
-from .registry import cte, half_up, query
+from .registry import CTES, cte, half_up, past, query
 from .serving import comp_sql, swap_sql
 
 M = Model.from_folder
@@ -52,6 +52,36 @@ def _(spark, sf):
     return ev.expect_shares(M(spark, sf).features, "size_tier", _BOUNDS)
 
 
+_ROWS = {"sales": ("v_sales", 1_000, 10**12), "customer_features": ("v_features", 100, 10**9)}
+
+
+@query("m1_row_counts", " UNION ALL ".join(
+    f"SELECT '{t} rows' AS rule, count(*) AS n_rows, CAST({lo} AS BIGINT) AS low, CAST({hi} AS BIGINT) AS high, CASE WHEN count(*) BETWEEN {lo} AND {hi} THEN 1 ELSE 0 END AS passed FROM {v}"
+    for t, (v, lo, hi) in _ROWS.items()))
+def _(spark, sf):
+    m = M(spark, sf)
+    m.features  # written, and noted, by whoever asks first
+    return ev.expect_row_counts(spark, m.observed, {t: (lo, hi) for t, (_, lo, hi) in _ROWS.items()})
+
+
+@query("m1_churn_band", """
+SELECT 'churn rate' AS rule, p AS churn_pct, 5.0::DOUBLE AS low, 50.0::DOUBLE AS high, CASE WHEN p BETWEEN 5 AND 50 THEN 1 ELSE 0 END AS passed
+FROM (SELECT round(count(*) FILTER (churn_label = 1) / count(*) FILTER (churn_label IN (0, 1)) * 100, 4) AS p FROM v_features)""")
+def _(spark, sf):
+    m = M(spark, sf)
+    m.features
+    return ev.expect_churn_band(spark, m.observed["customer_features"], 5, 50)
+
+
+@query("m1_noted_shares", " UNION ALL ".join(
+    f"SELECT 'size_tier {v}' AS rule, s AS share_pct, CASE WHEN s BETWEEN {lo} AND {hi} THEN 1 ELSE 0 END AS passed FROM (SELECT round(sum(CASE WHEN size_tier = '{v}' THEN 1 ELSE 0 END) / count(*) * 100, 4) AS s FROM v_features)"
+    for v, (lo, hi) in _BOUNDS.items()))
+def _(spark, sf):
+    m = M(spark, sf)
+    m.features
+    return ev.expect_noted_shares(spark, m.observed["customer_features"], "size_tier", _BOUNDS)
+
+
 @query("m1_keys_and_orphans", """
 SELECT 'features_unique' AS rule, (SELECT count(*) FROM (SELECT cust_id FROM v_features GROUP BY 1 HAVING count(*) > 1)) AS violations, 1 AS passed
 UNION ALL SELECT 'lines_unique', n, CASE WHEN n = 0 THEN 1 ELSE 0 END FROM (SELECT count(*) AS n FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1))
@@ -131,7 +161,14 @@ def _(spark, sf):
     return ev.hit_rates(_hits(M(spark, sf)))
 
 
-@query("m4_hit_rates_without_leak")
+# the list as the lines before the holdout alone give it: every subquery of the list again, over those lines
+past("v_recs", "p_", {"v_sales": "SELECT * FROM v_sales WHERE order_date <= (SELECT d FROM v_cut)"})
+cte("p_hits", CTES["v_hits"].replace("v_recs", "p_recs"))
+
+
+@query("m4_hit_rates_without_leak", " UNION ALL ".join(
+    f"SELECT '{n}' AS metric, round({e.format(s='eng')} * 100, 4) AS engine_pct, round({e.format(s='bl')} * 100, 4) AS baseline_pct, round(({e.format(s='eng')} - {e.format(s='bl')}) * 100, 4) AS lift_pp FROM p_hits"
+    for n, e in _METRICS))
 def _(spark, sf):
     """The list is rebuilt from the lines before the holdout only."""
     m = M(spark, sf)

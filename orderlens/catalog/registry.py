@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, str] = {}
 
-_NAME = re.compile(r"\bv_\w+")
+_NAME = re.compile(r"\b[vp]_\w+")
 
 
 def cte(name: str, sql: str) -> None:
@@ -26,6 +26,15 @@ def _closure(sql: str, found: set[str]) -> set[str]:
     return found
 
 
+def past(name: str, prefix: str, changed: dict[str, str]) -> None:
+    """A second form of a subquery, and of all it needs, under names with ``prefix`` in place of ``v_``, where some are changed."""
+    found = {name}
+    _closure(CTES[name], found)
+    for n in [c for c in CTES if c in found]:
+        again = re.sub(r"\bv_(?=\w)", prefix, CTES[n])
+        CTES[prefix + n[2:]] = changed.get(n, again)
+
+
 def complete(sql: str) -> str:
     needed = _closure(sql, set())
     if not needed:

@@ -187,12 +187,16 @@ def size_stats(sales: DataFrame, p: SizeParams) -> DataFrame:
 # ---- encodings ----
 
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Position of the value among the distinct values sorted as text; NULL becomes -1."""
-    codes = df.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("_p", F.substring(F.col(column).cast("string"), 1, 3))
-    # values sort first by how they begin; only the sizes of these groups are summed in one task
+    """Position of the value among the distinct values sorted as text; NULL becomes -1.
+
+    The values are dealt to ranges of the whole text, in order; places inside a range and the sizes of the ranges before it make
+    the position, and only the sizes, one a range, are summed in one task. The ranges are written, as they come from a sample.
+    """
+    codes = df.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("_t", F.col(column).cast("string"))
+    codes = stage(codes.repartitionByRange("_t").withColumn("_p", F.spark_partition_id()), "codes")
     starts = codes.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_start", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = F.row_number().over(W.partitionBy("_p").orderBy(F.col(column).cast("string")))
+    inside = F.row_number().over(W.partitionBy("_p").orderBy("_t"))
     index = codes.withColumn("_r", inside).join(starts, "_p").select(column, (F.col("_start") + F.col("_r") - 1).cast("int").alias("_i"))
     return df.join(index, column, "left").withColumn(out, F.coalesce("_i", F.lit(-1))).drop("_i")
 
@@ -232,18 +236,17 @@ def crosstab(df: DataFrame, a: str, b: str, margin: str = "TOTAL") -> DataFrame:
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """NULL count, NULL share and distinct count per column.
 
-    Columns become rows, so one pair of aggregations serves all of them and distinct
-    values meet in the map-side combine.
+    One pass counts rows and NULLs of all columns; distinct values are grouped column by column, each read alone and in its type.
     """
     columns = list(columns or df.columns)
     types = dict(df.dtypes)
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"),
-                               F.col(c).cast("string").alias("v")) for c in columns])
-    long = df.select(F.inline(cells)).groupBy("column_name", "data_type", "v").agg(F.count(F.lit(1)).alias("n"))
-    return long.groupBy("column_name", "data_type").agg(
-        F.sum("n").alias("n_rows"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
-        F.count("v").alias("n_distinct")).withColumn(
-        "null_pct", F.round(F.col("null_count") / F.col("n_rows") * 100, 4))
+    wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(f"_n_{c}") for c in columns])
+    distinct = {c: df.select(F.col(c).alias("v")).distinct().agg(F.count("v")).scalar() for c in columns}
+    for c in columns:
+        wide = wide.withColumn(f"_d_{c}", distinct[c])
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"), F.col("_rows").alias("n_rows"),
+                               (F.col("_rows") - F.col(f"_n_{c}")).alias("null_count"), F.col(f"_d_{c}").alias("n_distinct")) for c in columns])
+    return wide.select(F.inline(cells)).filter("n_rows > 0").withColumn("null_pct", F.round(F.col("null_count") / F.col("n_rows") * 100, 4))
 
 
 def fy_sales_stats(sales: DataFrame) -> DataFrame:

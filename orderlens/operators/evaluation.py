@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ranking as rk
 from ..functions.columns import flag, half_up
-from ..params import EvalParams
+from ..params import SIZE_TIERS, EvalParams, ModelParams
 from . import serving
 
 # ---- expectations ----
@@ -52,6 +52,38 @@ def expect_columns(df: DataFrame, required: Sequence[str], name: str) -> DataFra
         flag((F.col("n") > 0) & F.lit(missing == 0)).alias("passed"))
 
 
+def table_metrics(df: DataFrame, params: ModelParams) -> dict[str, Column]:
+    """What is noted of a table while it is written: rows, and rows per size tier and churn label where it has them."""
+    counts = {"n_rows": F.count(F.lit(1))}
+    if "size_tier" in df.columns:
+        counts |= {f"size_tier {t}": F.count(F.when(F.col("size_tier") == t, 1)) for t in SIZE_TIERS}
+    if "churn_label" in df.columns:
+        counts |= {f"churn {v}": F.count(F.when(F.col("churn_label") == v, 1)) for v in (-1, 0, 1)}
+    return counts
+
+
+def expect_row_counts(spark: SparkSession, observed: Mapping[str, Mapping], ranges: Mapping[str, tuple[int, int]]) -> DataFrame:
+    """Noted row counts of stored tables against the ranges in which they should lie."""
+    rows = [(f"{name} rows", int(observed[name]["n_rows"]), lo, hi, int(lo <= observed[name]["n_rows"] <= hi)) for name, (lo, hi) in ranges.items()]
+    return spark.createDataFrame(rows, "rule string, n_rows long, low long, high long, passed int")
+
+
+def expect_churn_band(spark: SparkSession, noted: Mapping, low: float, high: float) -> DataFrame:
+    """Share of lost customers among those of the first year, in percent, against a band; without any it fails."""
+    lost, kept = int(noted["churn 1"]), int(noted["churn 0"])
+    pct = round(lost / (lost + kept) * 100, 4) if lost + kept else None
+    return spark.createDataFrame([("churn rate", pct, float(low), float(high), int(pct is not None and low <= pct <= high))],
+                                 "rule string, churn_pct double, low double, high double, passed int")
+
+
+def expect_noted_shares(spark: SparkSession, noted: Mapping, column: str, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """As ``expect_shares``, from what was noted while the table was written."""
+    n = int(noted["n_rows"])
+    rows = [(f"{column} {v}", round(noted[f"{column} {v}"] / n * 100, 4) if n else None) for v in bounds]
+    rows = [(rule, pct, int(pct is not None and lo <= pct <= hi)) for (rule, pct), (lo, hi) in zip(rows, bounds.values())]
+    return spark.createDataFrame(rows, "rule string, share_pct double, passed int")
+
+
 # ---- holdout ----
 
 def holdout_start(sales: DataFrame, days: int) -> Column:

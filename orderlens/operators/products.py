@@ -169,7 +169,9 @@ def product_economics(merged: DataFrame, competitors: Sequence[str],
 
 
 def parsed_items(items: DataFrame) -> DataFrame:
-    return (items.withColumn("matching_category", text.matching_category(F.lit(None).cast("string"), F.lit(None).cast("string"), "category"))
+    """Matching keys of items. ``sub_category`` and ``category_group``, the finer levels, count where the items have them."""
+    level = lambda c: F.col(c) if c in items.columns else F.lit(None).cast("string")
+    return (items.withColumn("matching_category", text.matching_category(level("sub_category"), level("category_group"), "category"))
             .withColumn("product_type", text.product_type("item_dsc"))
             .withColumn("form_code", text.form_code("item_dsc")))
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ranking as rk
@@ -114,16 +116,31 @@ def revenue_outliers(sales: DataFrame, customers: DataFrame, items: DataFrame, q
 # ---- table profile ----
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """NULLs, range, mean and exact median of numeric columns."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])
-    long = df.select(F.inline(cells))
-    sums = long.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(flag(F.col("value").isNull())).alias("null_count"),
-        F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.round(F.avg("value"), 4).alias("mean_value"))
-    return sums.join(rk.exact_quantiles(long, "value", {"median_value": 0.5}, ["column_name"], 4), "column_name", "left")
+    """NULLs, range, mean and exact median of numeric columns.
+
+    One pass makes the typed summaries of all columns, which merge; each median is a selection in the histogram of
+    its column, which reads that column alone. Rows are never turned into one row per column.
+    """
+    sums = df.agg(*[F.struct(F.count(F.lit(1)).alias("n_rows"), F.sum(flag(F.col(c).isNull())).alias("null_count"),
+                             F.min(F.col(c).cast("double")).alias("min_value"), F.max(F.col(c).cast("double")).alias("max_value"),
+                             F.round(F.avg(F.col(c).cast("double")), 4).alias("mean_value")).alias(c) for c in columns])
+    medians = {c: rk.exact_quantiles(df.select(c), c, {"m": 0.5}, digits=4).scalar() for c in columns}
+    for c in columns:
+        sums = sums.withColumn(f"_m_{c}", medians[c])
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"`{c}`.{f}").alias(f) for f in (
+        "n_rows", "null_count", "min_value", "max_value", "mean_value")], F.col(f"_m_{c}").alias("median_value")) for c in columns])
+    return sums.select(F.inline(cells))
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
-    by = df.select(F.inline(cells)).filter("value IS NOT NULL").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    return rk.top_k(by, ["column_name"], [F.desc("n"), "value"], k)
+    """The k most frequent values of each column with their counts, ties by the value as text.
+
+    Every column is counted by itself in its own type, so a scan reads it alone and equal values meet in the map-side combine;
+    only the groups are cast to text.
+    """
+    def top(c: str) -> DataFrame:
+        by = df.select(F.col(c).alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        best = by.select(F.col("v").cast("string").alias("value"), "n").orderBy(F.desc("n"), "value").limit(k)
+        place = F.row_number().over(W.orderBy(F.desc("n"), "value"))  # of k rows
+        return best.select(F.lit(c).alias("column_name"), "value", "n", place.alias("rank"))
+    return reduce(lambda a, b: a.unionByName(b), [top(c) for c in columns])

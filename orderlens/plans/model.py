@@ -19,9 +19,10 @@ from ..operators import joins
 from ..operators import pairs as pa
 from ..operators import products as pr
 from ..operators import signals as sg
+from ..operators import evaluation as ev
 from ..operators.evaluation import before_holdout
 from ..params import SIGNALS, SIZE_TIERS, EvalParams, ModelParams
-from ..session import stage
+from ..session import stage, stage_observed
 from . import driver_tables as d
 
 
@@ -32,6 +33,7 @@ class Model:
                  params: ModelParams = ModelParams(), coarse_items: DataFrame | None = None):
         """``coarse_items`` maps items to the grain of the coarse cadence; without it items are taken as they are."""
         self._sales, self.customers, self.items, self.reuse, self.params = sales, customers, items, reuse, params
+        self.observed: dict[str, dict] = {}
         self._coarse_items = items.select("item_id", F.col("item_id").alias("coarse_id")) if coarse_items is None else coarse_items
 
     @classmethod
@@ -46,9 +48,18 @@ class Model:
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return stage(df, name) if self.reuse else df
 
+    def _watched(self, df: DataFrame, name: str) -> DataFrame:
+        """A stored table whose size and shares are noted in ``observed`` as it is written; tables that are not stored are asked."""
+        metrics = ev.table_metrics(df, self.params)
+        if self.reuse:
+            table, self.observed[name] = stage_observed(df, name, metrics)
+            return table
+        self.observed[name] = df.agg(*[v.alias(k) for k, v in metrics.items()]).head().asDict()
+        return df
+
     @cached_property
     def sales(self) -> DataFrame:
-        return self._keep(self._sales, "sales")
+        return self._watched(self._sales, "sales")
 
     @cached_property
     def merged(self) -> DataFrame:
@@ -69,8 +80,8 @@ class Model:
 
     @cached_property
     def features(self) -> DataFrame:
-        return self._keep(cu.customer_features(self.sales, self.item_lines, self.customers, self.params.competitors, self.params.size, self.params.supplier),
-                          "customer_features")
+        return self._watched(cu.customer_features(self.sales, self.item_lines, self.customers, self.params.competitors, self.params.size, self.params.supplier),
+                             "customer_features")
 
     @cached_property
     def segments(self) -> DataFrame:

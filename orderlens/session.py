@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -44,6 +45,13 @@ def stage_root(spark: SparkSession) -> str:
     return _LOCAL_STAGE[app]
 
 
+def stage_observed(df: DataFrame, name: str, metrics: Mapping[str, Column]) -> tuple[DataFrame, dict]:
+    """``stage``, with aggregates of the rows that are taken while they are written, so checks of the table need no scan."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    table = stage(df.observe(seen, *[value.alias(key) for key, value in metrics.items()]), name)
+    return table, seen.get
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 

@@ -80,3 +80,19 @@ def test_heatmap_intensity(spark):
     assert got.groupBy("cust_id").agg(F.count("*")).orderBy("cust_id").collect() == [(1, 90), (2, 90)]
     assert {r.intensity for r in got.filter("cust_id = 2").collect()} == {0}
     assert [(r.n, r.intensity) for r in got.filter("cust_id = 1 AND n > 0").orderBy("day").collect()] == [(4, 4), (1, 1)]
+
+
+def test_label_encoding_of_codes_that_begin_alike(spark):
+    codes = spark.range(30_000).select(F.concat(F.lit("NATION_"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("c"))
+    df = codes.unionByName(codes.filter("c LIKE '%7'")).unionByName(spark.createDataFrame([(None,)], "c string"))
+    got = cu.label_encode(df, "c", "n")
+    assert got.filter("c IS NOT NULL AND n <> CAST(substr(c, 8) AS INT)").count() == 0 and got.filter("c IS NULL AND n = -1").count() == 1
+    staged = [p for p in got.inputFiles() if "codes-" in p]
+    assert len(staged) > 1  # several ranges, not one task
+
+
+def test_column_profile_of_an_empty_table_and_nulls(spark):
+    df = spark.createDataFrame([(1, None), (1, "x"), (None, None)], "a int, b string")
+    got = {r.column_name: (r.n_rows, r.null_count, r.n_distinct, r.null_pct) for r in cu.column_profile(df).collect()}
+    assert got == {"a": (3, 1, 1, 33.3333), "b": (3, 2, 1, 66.6667)}
+    assert cu.column_profile(df.limit(0)).count() == 0
