@@ -5,10 +5,11 @@ counts), or any quoted or unbroken value of at least 6 characters after the name
 forest (Spark's own) sees its length, letters and digits, changes between kinds of characters, how much of it dictionary words cover, path marks, and the words around it. The dictionary holds the most
 frequent words of all documents. The forest is trained on labelled findings, at most ``most_findings`` of them,
 in the order of a hash. Where no one has labelled findings, ``labelled_by_format`` labels those that a
-provider's format, or an address or number format, settles; the forest then judges all candidates
-by their features, which do not hold these formats.
+provider's format, or an address or number format, settles; the forest then judges all candidates. Several features
+(prefix, name, quotes, signs) are what these rules look at, so such a forest says of the settled findings what the rules say,
+and only the others are its own judgement.
 
-Everything is DataFrame operations on one scan of the texts; a finding is a distinct value of a document. Null
+Runs and values may be of any length. Everything is DataFrame operations on one scan of the texts; a finding is a distinct value of a document. Null
 and empty texts have no findings. Null ids keep their findings (doc_id null); repeated rows give their
 findings once each. Without labelled findings of both kinds every candidate is kept, with score 1.
 """
@@ -24,7 +25,7 @@ from .common import stage
 
 #: Beginnings that providers give their keys.
 PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "glpat-", "xoxb-", "xoxp-", "sk-", "AIza"]
-CANDIDATE = (r"(?<![A-Za-z0-9_+/=.@-])(?:(?=[A-Za-z_+/=.@-]{0,120}[0-9])|(?=" + "|".join(PREFIXES) + "))[A-Za-z0-9_+/=.@-]{12,}+")
+CANDIDATE = (r"(?<![A-Za-z0-9_+/=.@-])(?:(?=[A-Za-z_+/=.@-]*+[0-9])|(?=" + "|".join(PREFIXES) + "))[A-Za-z0-9_+/=.@-]{12,}+")
 #: Names of credentials, and names of things that look like them.
 SECRET_WORDS = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key", "auth", "bearer",
                 "credential", "private_key", "client_secret", "key"]
@@ -32,7 +33,7 @@ OTHER_WORDS = ["sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "
                "isbn", "version", "card", "order", "invoice"]
 #: The name of a credential up to the value given to it, and such a value with its quotes or without.
 LEAD = r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|credentials?|(?:api|access|private|secret)[_-]?key|(?<![a-z])(?:key|auth|bearer))[\"'`]?[ \t]{0,8}[=:]{1,2}[ \t]{0,8}"
-GIVEN = LEAD + r"(?:\"[^\"\n]{6,200}+\"|'[^'\n]{6,200}+'|`[^`\n]{6,200}+`|[\"'`]?[^\s\"'`]{6,}+)"
+GIVEN = LEAD + r"(?:\"[^\"\n]{6,}+\"|'[^'\n]{6,}+'|`[^`\n]{6,}+`|[\"'`]?[^\s\"'`]{6,}+)"
 FEATURES = ["size", "digits", "uppers", "lowers", "hexes", "turns", "case_turns", "distinct_chars", "covered", "slashes", "dots",
             "ats", "dashes", "prefixed", "assigned", "quoted", "secret_words", "other_words", "before_letters", "after_letters"]
 
@@ -170,10 +171,16 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, mark: str = "[SEC
     secrets = scan(keyed, labelled).filter("secret").groupBy("doc_id").agg(F.collect_set("value").alias("values"))
     rows = docs.select(F.struct("*").alias("doc"), digest.alias("digest")).join(
         stage(secrets, "secrets").withColumnRenamed("doc_id", "digest"), "digest", "left")
-    # longest first, so a value that holds another is replaced whole
+    # one pass from left to right, longer values first: a mark is never searched again, and a value that begins or
+    # ends with a letter or digit is none inside a longer word
     ordered = F.array_sort("values", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    edge = lambda v, at, guard: F.when(v.rlike(at), F.lit(guard)).otherwise(F.lit(""))
+    quoted = F.transform(ordered, lambda v: F.concat(
+        edge(v, "^[A-Za-z0-9]", "(?<![A-Za-z0-9])"), F.lit("\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"),
+        edge(v, "[A-Za-z0-9]$", "(?![A-Za-z0-9])")))
+    literal = mark.replace("\\", "\\\\").replace("$", "\\$")
     text = F.when(F.col("values").isNull(), F.col("doc.text")).otherwise(
-        F.aggregate(ordered, F.col("doc.text"), lambda t, v: F.replace(t, v, F.lit(mark))))
+        F.regexp_replace(F.col("doc.text"), F.array_join(quoted, "|"), F.lit(literal)))
     out = {"text": text}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col("values").isNull(), F.col("doc.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))

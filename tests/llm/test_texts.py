@@ -238,3 +238,20 @@ def test_short_and_plain_secrets_after_a_credential_name(spark):
     assert not any(x.secret for x in found.values() if "example.com" in x.value or "$" in x.value)
     clean = {x.doc_id: x.text for x in secret_scan.redact(docs).collect()}
     assert all("[SECRET]" in clean[i] and value not in clean[i] for i, (_, value) in given.items())
+
+
+def test_secrets_of_any_length_are_cut_by_place(spark):
+    late = "".join("abcdefghijklmnopqrstuvwxyz"[i * 7 % 26] for i in range(130)) + "7Qx9" + "z" * 3
+    phrase = "correct horse battery staple " * 11
+    long = "QxZwVk" * 50
+    texts = {1: f"token = {late} end", 2: f'passphrase = "{long}" end', 3: 'token = "SECRET9Qab12" and secret = "SECRET" end',
+             4: 'password = "monkey" said the monkeys, monkey', 5: r'password = "a\\Eb$1c\\Q" then $1', 6: "nothing here", 7: f'passphrase = "{phrase}" end'}
+    labels = spark.createDataFrame([(i, f"w{i} token = \"k{i * 7919 % 100003}Xq{i}z9\" w mail a{i}b{i}@example{i}.com w") for i in range(100, 160)], "doc_id long, text string")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").unionByName(labels)
+    found = {(x.doc_id, x.value) for x in secret_scan.scan(docs).collect() if x.secret}
+    assert (7, phrase) in {(x.doc_id, x.value) for x in secret_scan.candidates(docs).collect()}  # the forest judges it
+    assert {(1, late), (2, long), (3, "SECRET9Qab12"), (3, "SECRET"), (4, "monkey")} <= found
+    clean = {x.doc_id: x.text for x in secret_scan.redact(docs).collect()}
+    assert clean[1] == "token = [SECRET] end" and clean[2] == 'passphrase = "[SECRET]" end'
+    assert clean[3] == 'token = "[SECRET]" and [SECRET] = "[SECRET]" end'.replace("[SECRET] =", "secret =")
+    assert clean[4] == 'password = "[SECRET]" said the monkeys, [SECRET]' and clean[5] == 'password = "[SECRET]" then $1' and clean[6] == texts[6]
