@@ -349,3 +349,50 @@ SELECT archetype, specialty, n_customers, rank FROM (SELECT *, row_number() OVER
 FROM (SELECT archetype, specialty_dsc AS specialty, count(*) AS n_customers FROM v_arch a JOIN v_features f ON a.cust_id = f.cust_id GROUP BY 1, 2)) WHERE rank <= 10""")
 def _(spark, sf):
     return cu.top_specialties(_with_archetype(M(spark, sf)))
+
+
+# The rule tables as they are shipped, over descriptions and codes that hold their words: a customer's words follow from its id.
+_ALL_WORDS = [w for _, ws in text.ARCHETYPE_WORDS for w in ws]
+_ALL_CODES = [c for _, cs in text.ARCHETYPE_CODES for c in cs]
+
+
+def _described(spark, sf):
+    pick = lambda words, step: F.get(F.array(*[F.lit(w) for w in words]), (F.col("cust_id") * step % (len(words) + 2)).cast("int"))
+    return M(spark, sf).customers.select(
+        "cust_id", F.concat(F.lit("dept of "), pick(_ALL_WORDS, 7), F.lit(" "), F.col("specialty")).alias("description"),
+        pick(_ALL_CODES, 5).alias("code"), F.when(F.col("cust_id") % 11 == 0, "AC").otherwise(F.lit("PO")).alias("market"))
+
+
+def _rules(column, rules, test):
+    return " ".join("WHEN " + " OR ".join(test.format(c=column, w=w.replace("'", "''")) for w in ws) + f" THEN '{name}'" for name, ws in rules)
+
+
+cte("v_described", f"""
+SELECT cust_id, 'dept of ' || ([{", ".join(f"'{w.replace(chr(39), chr(39) * 2)}'" for w in _ALL_WORDS)}])[cust_id * 7 % {len(_ALL_WORDS) + 2} + 1] || ' ' || specialty AS description,
+  ([{", ".join(f"'{c}'" for c in _ALL_CODES)}])[cust_id * 5 % {len(_ALL_CODES) + 2} + 1] AS code, CASE WHEN cust_id % 11 = 0 THEN 'AC' ELSE 'PO' END AS market FROM v_customers""")
+cte("v_shipped", f"""
+SELECT cust_id, CASE WHEN description IS NULL OR description = '' THEN 'unknown' {_rules('upper(trim(description))', text.ARCHETYPE_WORDS, "contains({c}, '{w}')")} ELSE 'specialty_clinic' END AS archetype,
+  CASE WHEN coalesce(code, '') = '' AND coalesce(description, '') = '' THEN 'unknown' WHEN market = 'AC' THEN 'hospital_acute'
+    {_rules('code', text.ARCHETYPE_CODES, "upper(trim(coalesce({c}, ''))) = '{w}' OR contains(upper(trim(coalesce(description, ''))), '{w}')")} ELSE 'specialty_clinic' END AS archetype_code
+FROM v_described""")
+
+
+@query("e4_archetype_shipped_words", "SELECT cust_id, archetype FROM v_shipped")
+def _(spark, sf):
+    return _described(spark, sf).select("cust_id", text.archetype_by_description("description").alias("archetype"))
+
+
+@query("e5_archetype_shipped_codes", "SELECT cust_id, archetype_code FROM v_shipped")
+def _(spark, sf):
+    return _described(spark, sf).select("cust_id", text.archetype_by_code("code", "description", "market").alias("archetype_code"))
+
+
+@query("e6_archetype_profile_shipped", f"""
+SELECT archetype, count(*) AS n_customers, round(sum(monetary), 2) AS total_spend, round(avg(monetary), 2) AS mean_spend,
+  round(avg(CASE WHEN churn_label = 1 THEN 1 ELSE 0 END) * 100, 2) AS churn_rate, {half_up("median(monetary)")} AS median_spend,
+  {half_up("median(median_monthly_volume)")} AS median_volume, {half_up("median(frequency)")} AS median_freq,
+  {half_up("median(recency_days)")} AS median_recency, {half_up("median(n_categories_bought)")} AS median_n_cats
+FROM v_features f JOIN v_shipped a ON f.cust_id = a.cust_id GROUP BY 1""")
+def _(spark, sf):
+    named = _described(spark, sf).select("cust_id", text.archetype_by_description("description").alias("archetype"))
+    return cu.archetype_profile(M(spark, sf).features.join(named, "cust_id"))

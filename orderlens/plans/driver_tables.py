@@ -94,7 +94,8 @@ def coarse_items(items: DataFrame) -> DataFrame:
 
 
 # ---- carts, feedback and users, read from the event log ----
-# view = shown, click = cart add, purchase = sold, error = rejected; signup carries nothing.
+# view = shown, click = cart add, purchase = sold, error = rejected; in cart logs signup stands for set_quantity
+# or delete (catalog/state.py), for which the table has no type of its own.
 SOURCES = ("manual", "recommendation_peer_gap", "recommendation_lapsed",
            "recommendation_replenishment", "recommendation_cart_complement",
            "recommendation_pb_upgrade", "recommendation_competitor_conversion",
