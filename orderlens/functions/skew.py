@@ -26,14 +26,14 @@ def heavy_keys(rows: DataFrame, keys: Sequence[str], tasks: int | None = None) -
 
 
 def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], by: Sequence[str], how: str = "inner",
-                tasks: int | None = None) -> DataFrame:
+                salts: int | None = None) -> DataFrame:
     """``rows`` joined with ``lookup``, frequent keys of ``rows`` dealt over several tasks.
 
     Only the lookup rows of such keys are repeated, as often as their share of the rows fills tasks; all others
-    meet in one plain shuffle, each lookup row once. A row's salt is a hash of ``by``. ``rows`` is read twice, so it
+    meet in one plain shuffle, each lookup row once. ``salts`` is the number of tasks to fill, that of a shuffle by default. A row's salt is a hash of ``by``. ``rows`` is read twice, so it
     should be a stored table.
     """
-    heavy = F.broadcast(heavy_keys(rows, keys, tasks))  # at most _TRACKED rows
+    heavy = F.broadcast(heavy_keys(rows, keys, salts))  # at most _TRACKED rows
     h = F.xxhash64(*keys).alias("_h")
     salted = rows.withColumn("_h", h).join(heavy, "_h", "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_salts")).cast("int"), F.lit(0))).drop("_h", "_salts")

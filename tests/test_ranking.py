@@ -91,7 +91,7 @@ def test_salted_join_repeats_only_heavy_keys(spark, tmp_path):
     lookup = rows.select("k").distinct().withColumn("w", F.col("k") * 2)
     heavy = skew.heavy_keys(rows, ["k"], 16).collect()
     assert [x["_salts"] for x in heavy] == [8] and heavy[0]["_h"] == rows.filter("k = -1").select(F.xxhash64("k")).head()[0]
-    got = skew.salted_join(rows, lookup, ["k"], ["id"], tasks=16)
+    got = skew.salted_join(rows, lookup, ["k"], ["id"], salts=16)
     assert got.count() == 5000 and got.filter("w <> 2 * k").count() == 0
     assert skew.salted_join(rows, lookup.filter("k > 10"), ["k"], ["id"], "left", 16).filter("w IS NULL").count() == rows.filter("k <= 10").count()
     assert skew.heavy_keys(rows.filter("k > 0"), ["k"], 16).count() == 0 and skew.heavy_keys(rows.limit(0), ["k"], 16).count() == 0
