@@ -16,7 +16,7 @@ CHEAP = ("a3_tag_fiscal_year", "b9_dedup_latest", "b15_dedup_accounting", "d7_ch
 def test_every_reference_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     ours = {n for n in entry.queries() if not n.startswith("op") and n != "pipeline"}
-    assert ours - set(entry.oracle_sql()) == {"m4_hit_rates_without_leak"}
+    assert ours <= set(entry.oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver tables")
