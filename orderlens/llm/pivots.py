@@ -12,7 +12,8 @@ Pairs of two vectors that are in no region, where a pivot seldom lies within lin
 vector is described by its ``depth`` nearest pivots in order of nearness. Inverted lists hold, for each pivot, the
 vectors near it; of two vectors that share at least ``shared`` of their pivots one of the first depth - shared + 1 (in
 the order of pivot frequency) is shared as well, so only those lists are written, and a pair counts only in the list of
-its first common pivot. Only these pairs can be missed.
+its first common pivot. Only these pairs can be missed; as more pivots make it likelier that two vectors order theirs
+differently, ``depth`` grows by one with each doubling of the pivots beyond 1,024.
 
 A list or region is cut into blocks of bounded size and every two blocks that have to meet do so in one cell, where
 pairs are verified by their cosine in double precision. A cell gives the number of links of each vector and a star
@@ -21,7 +22,7 @@ within twice the linking angle of each other, nearly all are guests everywhere,
 
 Equal vectors are first joined into one with its number of copies (they are told apart by 128 bits of hash).
 Null or empty vectors, zero vectors and those with null or non-finite components, and rows with null ids, link
-with nothing; vectors of different length do not link either. An empty table gives no rows. Recall against
+with nothing; vectors of different length do not link either. Vectors of doubles are compared as doubles. An empty table gives no rows. Recall against
 all pairs is measured in the tests.
 """
 
@@ -32,12 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import finite_vector, stage
 from .components import components, local_roots
 
-_BLOCK = "role int, pivot int, chunk long, n long, ids binary, copies binary, vectors binary, near binary"
+_BLOCK = "role int, pivot int, chunk long, n long, ids binary, copies binary, vectors binary, width int, near binary"
 #: What a vector is in a list: one of those near a pivot, a member of its region, or a guest there.
 NEAR, MEMBER, GUEST = 0, 1, 2
 #: Room for single precision where a bound decides whether two vectors meet.
@@ -48,6 +50,11 @@ def pivot_count(n: int, least: int = 16, most: int = 1 << 15) -> int:
     return max(least, min(most, math.isqrt(max(n, 1))))
 
 
+def permutation_depth(pivots: int, depth: int) -> int:
+    """Nearest pivots that describe a vector: ``depth``, and one more for each doubling of the pivots beyond 1,024."""
+    return min(pivots, depth + max(0, math.ceil(math.log2(max(pivots, 1) / 1024))))
+
+
 def _unit(rows) -> np.ndarray:
     x = np.stack([np.asarray(r, float) for r in rows])
     big = np.abs(x).max(axis=1, keepdims=True)
@@ -96,16 +103,17 @@ class Regions:
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("id", kind="stable")
+    vectors = np.stack(list(pdf["vector"]))  # single or double precision, as the table has it
     return pd.DataFrame({"role": [int(pdf["role"].iloc[0])], "pivot": [int(pdf["pivot"].iloc[0])], "chunk": [int(pdf["chunk"].iloc[0])], "n": [len(pdf)],
                          "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()],
-                         "vectors": [np.stack(list(pdf["vector"])).astype(np.float32).tobytes()],
+                         "vectors": [vectors.tobytes()], "width": [vectors.itemsize],
                          "near": [np.stack(list(pdf["near"])).astype(np.int32).tobytes()]})
 
 
 class Block:
-    def __init__(self, n, ids, copies, vectors, near):
+    def __init__(self, n, ids, copies, vectors, width, near):
         self.ids, self.copies = np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64)
-        self.unit = _unit(np.frombuffer(vectors, np.float32).reshape(n, -1))
+        self.unit = _unit(np.frombuffer(vectors, f"f{width}").reshape(n, -1))
         self.near = np.frombuffer(near, np.int32).reshape(n, -1)
 
 
@@ -138,7 +146,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, depth: int = 8, sha
                     seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of ``vectors``."""
     some = F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = vectors.schema["embedding"].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"),
+                          F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
     good = rows.filter(F.col("vec_id").isNotNull() & finite_vector("embedding") & some)
     keys = [F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(seed), F.col("embedding")).alias("k2")]
     distinct = stage(good.groupBy(*keys).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"),
@@ -171,7 +182,7 @@ def _links(distinct: DataFrame, cosine: float, depth: int, shared: int, block_ro
     chosen = distinct.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(pivot_count(n)).select("vector").collect()
     points = spread(_unit([r.vector for r in chosen]).astype(np.float32), cosine)
     regions = Regions(points, cosine)
-    depth = min(depth, len(points))
+    depth = permutation_depth(len(points), depth)
     shared = min(shared, depth)
     prefix = depth - shared + 1
 
@@ -185,7 +196,8 @@ def _links(distinct: DataFrame, cosine: float, depth: int, shared: int, block_ro
                                                              near=[x if h < 0 else x[:0] for x, h in zip(order, home)])
 
     described = stage(distinct.select("id", "copies", "vector").mapInPandas(
-        describe, "id long, copies long, vector array<float>, home int, guest array<int>, near array<int>"), "pivot-permutations")
+        describe, f"id long, copies long, vector {distinct.schema['vector'].dataType.simpleString()}, home int, guest array<int>, near array<int>"),
+        "pivot-permutations")
     # number pivots from the rarest list to the longest
     length = {r.pivot: r["count"] for r in described.select(F.explode("near").alias("pivot")).groupBy("pivot").count().collect()}
     order = np.full(len(points), len(points))
@@ -204,34 +216,33 @@ def _links(distinct: DataFrame, cosine: float, depth: int, shared: int, block_ro
     members = described.filter("home >= 0").select(F.lit(MEMBER).alias("role"), F.col("home").alias("pivot"), "id", "copies", "vector", none)
     guests = described.select(F.lit(GUEST).alias("role"), F.explode("guest").alias("pivot"), "id", "copies", "vector", none)
     listed = lists.unionByName(members).unionByName(guests)
-    chunked = {(r.role, r.pivot): math.ceil(r["count"] / block_rows) for r in listed.groupBy("role", "pivot").count().filter(F.col("count") > block_rows).collect()}
-
-    def chunks(role: int) -> Column:
-        """Blocks of the list of ``pivot`` in that role; those with one block are not named."""
-        of = [F.lit(x) for (r, p), c in chunked.items() if r == role for x in (p, c)]
-        return (F.coalesce(F.create_map(*of)[F.col("pivot")], F.lit(1)) if of else F.lit(1)).cast("long")
-
-    mine = F.when(F.col("role") == NEAR, chunks(NEAR)).when(F.col("role") == MEMBER, chunks(MEMBER)).otherwise(chunks(GUEST))
-    blocks = stage(listed.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(seed)), mine))
+    # blocks of every list: a row for each pivot and role, joined by the size that the written table shows
+    sizes = stage(listed.groupBy("role", "pivot").agg(F.ceil(F.count("*") / block_rows).alias("chunks")), "list-blocks")
+    wide = sizes.groupBy("pivot").agg(*[F.coalesce(F.max(F.when(F.col("role") == r, F.col("chunks"))), F.lit(0)).alias(f"{name}s")
+                                        for r, name in ((NEAR, "near"), (MEMBER, "member"), (GUEST, "guest"))])
+    blocks = stage(listed.join(sizes, ["role", "pivot"]).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("chunks")))
                    .select("role", "pivot", "chunk", "id", "copies", "vector", "near")
                    .groupBy("role", "pivot", "chunk").applyInPandas(_pack, _BLOCK), "pivot-blocks")
+    placed = blocks.join(wide, "pivot")
     zero = F.lit(0).cast("long")
-    inside = blocks.filter(F.col("role") != GUEST)
-    left = inside.withColumn("o_role", F.col("role")).withColumn("other", F.explode(F.sequence(F.col("chunk"), mine - 1)))
-    left = left.unionByName(blocks.filter(F.col("role") == MEMBER).withColumn("o_role", F.lit(GUEST))
-                            .withColumn("other", F.explode(F.sequence(zero, chunks(GUEST) - 1))))
+    inside = placed.filter(F.col("role") != GUEST)
+    own = F.when(F.col("role") == NEAR, F.col("nears")).otherwise(F.col("members"))
+    left = inside.withColumn("o_role", F.col("role")).withColumn("other", F.explode(F.sequence(F.col("chunk"), own - 1)))
+    left = left.unionByName(placed.filter((F.col("role") == MEMBER) & (F.col("guests") > 0)).withColumn("o_role", F.lit(GUEST))
+                            .withColumn("other", F.explode(F.sequence(zero, F.col("guests") - 1))))
+    left = left.drop("nears", "members", "guests")
     right = inside.withColumn("left", F.explode(F.sequence(zero, F.col("chunk")))).unionByName(
-        blocks.filter(F.col("role") == GUEST).withColumn("left", F.explode(F.sequence(zero, chunks(MEMBER) - 1))))
+        placed.filter((F.col("role") == GUEST) & (F.col("members") > 0)).withColumn("left", F.explode(F.sequence(zero, F.col("members") - 1))))
     right = right.select(F.col("role").alias("o_role"), "pivot", F.col("left").alias("chunk"), F.col("chunk").alias("other"),
-                         *[F.col(c).alias(f"o_{c}") for c in ("n", "ids", "copies", "vectors", "near")])
+                         *[F.col(c).alias(f"o_{c}") for c in ("n", "ids", "copies", "vectors", "width", "near")])
     cells = left.join(right, ["o_role", "pivot", "chunk", "other"])
 
     def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for r in pdf.itertuples(index=False):
                 same = r.role == r.o_role and r.chunk == r.other
-                a = Block(r.n, r.ids, r.copies, r.vectors, r.near)
-                b = a if same else Block(r.o_n, r.o_ids, r.o_copies, r.o_vectors, r.o_near)
+                a = Block(r.n, r.ids, r.copies, r.vectors, r.width, r.near)
+                b = a if same else Block(r.o_n, r.o_ids, r.o_copies, r.o_vectors, r.o_width, r.o_near)
                 i, j = linked(a, b, same, r.pivot, prefix, shared, cosine) if r.role == NEAR else linked_in_region(a, b, same, cosine)
                 if not len(i):
                     continue

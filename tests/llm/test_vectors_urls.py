@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -75,6 +76,32 @@ def test_pivot_index_finds_all_pairs_of_a_dense_group(spark):
     assert got[m:].sum() >= 0.95 * want[m:].sum()
 
 
+def test_permutations_are_deep_enough_for_the_most_pivots():
+    """Partners at the threshold itself, pivots drawn like the vectors: the pairs that regions do not answer."""
+    rng = np.random.default_rng(4)
+    for count in (16, 1024, 8192, 1 << 15):
+        depth = pivots.permutation_depth(count, 8)
+        assert depth == {16: 8, 1024: 8, 8192: 11, 1 << 15: 13}[count]
+        if count < 1024:
+            continue
+        points = pivots._unit(rng.normal(size=(count, 64))).astype(np.float32)
+        x = pivots._unit(rng.normal(size=(1000, 64)))
+        side = rng.normal(size=x.shape)
+        side = pivots._unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+        y = 0.9 * x + math.sqrt(1 - 0.81) * side
+        near = [np.argsort(-(v.astype(np.float32) @ points.T), axis=1)[:, :depth] for v in (x, y)]
+        assert ((near[0][:, :, None] == near[1][:, None, :]).any(axis=2).sum(axis=1) >= 2).mean() >= 0.95
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    """A pair whose cosine is 0.9 only in single precision, and components beyond its range."""
+    a, below, above = [1.0, 0.0], [0.9 - 1e-12, math.sqrt(1 - 0.81)], [0.9 + 1e-12, math.sqrt(1 - 0.81)]
+    for other, links in ((below, 0), (above, 1)):
+        rows = [(1, [x * 1e200 for x in a]), (2, [x * 1e-200 for x in other])]
+        got = pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+        assert [x.n_links for x in got] == [links, links]
+
+
 def test_every_link_of_a_member_meets_in_one_region():
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(5, 6))
