@@ -10,8 +10,9 @@ it is past the document's latest signature time.
 
 Equal multisets are joined before anything else. Documents that agree in a whole band are candidates. In
 every bucket of a band each member is first compared with one of them, its hub; members of a bucket that are not
-connected by then are compared with all members of other components, block by block, so no candidate pair
-between different components goes unchecked, and large buckets list no pairs. Pairs whose signatures agree in fewer places
+connected by then are compared with all members of other components, block by block, sketches first and then texts, so
+no candidate pair between different components goes unchecked, large buckets list no pairs, and no bucket or hub is one
+task's work: frequent ones are dealt by documents. Pairs whose signatures agree in fewer places
 than seven standard deviations below the threshold allows go no further; the others are links if their weighted
 Jaccard similarity, computed exactly from the texts, reaches the threshold. With 25 bands of 5 a pair of
 similarity 0.8 is missed with probability 5e-5.
@@ -29,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from orderlens.functions.skew import heavy_keys, salted_join
+
 from .common import mix64, small_batches, stage
 from .components import components
 from .text_arrays import slices, utf8, word_hashes
@@ -191,10 +194,15 @@ def shingle_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs u, v whose documents are similar enough."""
+    """The pairs u, v whose documents are similar enough; a frequent v is dealt over several tasks by u. ``pairs`` is a stored table."""
     sets = shingle_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")), width)
-    both = (pairs.join(sets.select(F.col("id").alias("u"), F.col("elements").alias("a")), "u")
-            .join(sets.select(F.col("id").alias("v"), F.col("elements").alias("b")), "v"))
+    heavy = stage(heavy_keys(pairs, ["v"]), "frequent-hubs")  # of bounded size; only these hubs' sets are repeated
+    part = F.coalesce(F.pmod(F.xxhash64("u"), F.col("_salts")).cast("int"), F.lit(0)).alias("part")
+    dealt = pairs.withColumn("_h", F.xxhash64("v")).join(F.broadcast(heavy), "_h", "left").select("u", "v", part)
+    parts = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    hubs = (sets.select(F.xxhash64(F.col("id")).alias("_h"), F.col("id").alias("v"), F.col("elements").alias("b"))
+            .join(F.broadcast(heavy), "_h", "left").select("v", "b", F.explode(parts).alias("part")))
+    both = dealt.join(sets.select(F.col("id").alias("u"), F.col("elements").alias("a")), "u").join(hubs, ["v", "part"])
     common = F.size(F.array_intersect("a", "b"))
     return (both.select("u", "v", common.alias("common"), (F.size("a") + F.size("b")).alias("sizes"))
             .filter(F.col("common") / F.greatest(F.col("sizes") - F.col("common"), F.lit(1)) >= threshold).select("u", "v").distinct())
@@ -222,25 +230,45 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray], at_once: int = 8192)
     return out
 
 
+_BUCKET = ["band", "key"]
+
+
+def in_cells(outer: DataFrame, inner: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables with cells o and i: every block of one bucket's outer members meets every block of its inner ones in one cell.
+
+    Both are stored tables. Most buckets are one cell, whose rows are not repeated.
+    """
+    blocks = [rows.groupBy(*_BUCKET).agg(F.ceil(F.count("*") / block).cast("int").alias(f"{s}_blocks")) for rows, s in ((outer, "o"), (inner, "i"))]
+    count = stage(blocks[0].join(blocks[1], _BUCKET), "bucket-blocks")
+    dealt = []
+    for rows, s, other in ((outer, "o", "i"), (inner, "i", "o")):
+        own = F.pmod(F.xxhash64("id"), F.col(f"{s}_blocks")).cast("int").alias(s)
+        dealt.append(salted_join(rows, count, _BUCKET, ["id"]).select(
+            *rows.columns, own, F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(other)))
+    return dealt[0], dealt[1]
+
+
+def sketched_apart(outer: DataFrame, inner: DataFrame, near: Column, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """The outer and the inner members that may be similar (``near``) to one of the other side in another component of their bucket."""
+    o, i = (x.alias(s) for x, s in zip(in_cells(outer, inner, block), "oi"))
+    meet = (F.col("o.component") != F.col("i.component")) & near
+    for c in (*_BUCKET, "o", "i"):
+        meet = (F.col(f"o.{c}") == F.col(f"i.{c}")) & meet
+    outer = stage(o.join(i, meet, "left_semi").select("o.*"), "outer-cells")
+    inner = i.join(outer.alias("o"), meet, "left_semi").select("i.*")
+    return tuple(stage(x.select(*_BUCKET, "id", "component").distinct(), "sketched-apart") for x in (outer, inner))
+
+
 def apart_links(outer: DataFrame, inner: DataFrame, docs: DataFrame, width: int, threshold: float, block: int = 512) -> DataFrame:
-    """Links u, v between different components of a bucket.
+    """Links u, v between different components of a bucket; both tables are stored.
 
     ``outer`` holds the members outside a bucket's main component, ``inner`` all members. Both are dealt into blocks, and
     every two blocks of a bucket meet in one task, which counts common shingles for all of their pairs at once
     and returns, for each document and component, one link; pairs are not listed.
     """
-    keys = ["band", "key"]
-    sides = {"o": stage(outer, "outer"), "i": stage(inner, "inner")}
-    blocks = [sides[s].groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias(f"{s}_blocks")) for s in "oi"]
-    count = stage(blocks[0].join(blocks[1], keys), "bucket-blocks")
-    cells = None
-    for s, other in (("o", "i"), ("i", "o")):
-        own = F.pmod(F.xxhash64("id"), F.col(f"{s}_blocks")).cast("int").alias(s)
-        rows = sides[s].join(count, keys).select(*keys, F.lit(s).alias("side"), "id", "component", own,
-                                                 F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(other))
-        rows = rows.select(*keys, "o", "i", "side", "id", "component")
-        cells = rows if cells is None else cells.unionByName(rows)
-    sets = shingle_sets(docs, sides["o"].select("id").union(sides["i"].select("id")), width)
+    sides = [rows.select(*_BUCKET, "o", "i", F.lit(s).alias("side"), "id", "component") for rows, s in zip(in_cells(outer, inner, block), "oi")]
+    cells = sides[0].unionByName(sides[1])
+    sets = shingle_sets(docs, outer.select("id").union(inner.select("id")), width)
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -258,7 +286,7 @@ def apart_links(outer: DataFrame, inner: DataFrame, docs: DataFrame, width: int,
             found = [ids[o[x[one]]], ids[i[y[one]]]]
         return pa.table({"u": pa.array(found[0], pa.int64()), "v": pa.array(found[1], pa.int64())})
 
-    return cells.join(sets, "id").groupBy(*keys, "o", "i").applyInArrow(compare, "u long, v long")
+    return cells.join(sets, "id").groupBy(*_BUCKET, "o", "i").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 25, band_rows: int = 5) -> DataFrame:
@@ -271,13 +299,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     # another hub in every bucket of a document: what one leaves apart, the next ones join
     first = F.min(F.struct(F.xxhash64("id", "band", "key").alias("h"), "id"))
     buckets = members.groupBy("band", "key").agg(first["id"].alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    shared = stage(members.join(buckets, ["band", "key"]), "shared-buckets")
+    shared = stage(salted_join(members, stage(buckets, "buckets"), _BUCKET, ["id"]), "shared-buckets")
     # sizes within the threshold: a smaller multiset holds at most its own size of the larger
     near = (F.least("n", "m") >= F.greatest("n", "m") * (threshold - 1e-9)) & may_reach("a", "b", threshold, bands * band_rows)
     own = distinct.select("id", F.col("sketch").alias("a"))
     other = distinct.select(F.col("id").alias("hub"), F.col("n").alias("m"), F.col("sketch").alias("b"))
-    stars = stage(shared.filter("id <> hub").select("id", "n", "hub").distinct().join(own, "id").join(other, "hub").filter(near)
-                  .select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct(), "star-pairs")
+    met = salted_join(shared.filter("id <> hub").select("id", "n", "hub"), other, ["hub"], ["id"]).join(own, "id").filter(near)
+    stars = stage(met.groupBy(F.greatest("id", "hub").alias("hi"), F.least("id", "hub").alias("lo")).agg(F.max("hub").alias("v"))
+                  .select(F.when(F.col("hi") == F.col("v"), F.col("lo")).otherwise(F.col("hi")).alias("u"), "v"), "star-pairs")
     links = stage(verified(stars, docs, width, threshold), "star-links")
     groups = components(links)
     # what is still apart within a bucket
@@ -290,14 +319,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
                  .withColumn("main", F.coalesce("main", "hub")).join(own, "id"), "apart")
     outer = rest.filter("component <> main").select("band", "key", "id", "n", "component", "a")
     inner = rest.select("band", "key", "id", F.col("n").alias("m"), "component", F.col("a").alias("b"))
-    # members that may be similar to one of another component of their bucket
-    o, i = outer.alias("o"), inner.alias("i")
-    meet = ((F.col("o.band") == F.col("i.band")) & (F.col("o.key") == F.col("i.key")) & (F.col("o.component") != F.col("i.component")) & near)
-    outer = stage(o.join(i, meet, "left_semi").select("o.*"), "outer-members")
     if not outer.isEmpty():
-        inner = i.join(outer.alias("o"), meet, "left_semi").select("i.*")
-        more = stage(apart_links(outer.select("band", "key", "id", "component"), inner.select("band", "key", "id", "component"),
-                                 docs, width, threshold), "other-links")
+        outer, inner = sketched_apart(outer, inner, near)
+        more = stage(apart_links(outer, inner, docs, width, threshold), "other-links")
         groups = components(links.unionByName(more))
     classes = (distinct.select("k1", "k2", "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
                .select("k1", "k2", F.coalesce("component", "id").alias("class_id")))
