@@ -49,7 +49,7 @@ def schedule(parts: DataFrame, cycle: int) -> DataFrame:
             pick -> named_struct('done', transform(acc.done, (d, i) -> if(i = pick, d + 1, d)),
                                  'picks', concat(acc.picks, array(pick))))[0],
         acc -> acc.picks)"""
-    slots = listed.select("s", F.posexplode(F.expr(edf)).alias("at", "pick"))
+    slots = listed.filter(F.size("s") > 0).select("s", F.posexplode(F.expr(edf)).alias("at", "pick"))
     turn = F.row_number().over(Window.partitionBy("source").orderBy("at")) - 1
     return (slots.select(F.expr("s[pick].source").alias("source"), F.expr("s[pick].parts").alias("parts"), "at")
             .select("source", turn.alias("turn"), "at", "parts"))

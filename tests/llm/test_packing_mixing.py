@@ -88,6 +88,11 @@ def test_mixing_keeps_odd_rows(odd_docs, no_docs):
     assert sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
 
 
+def test_no_sources_give_an_empty_schedule(spark):
+    parts = mixing.parts_of_cycle(spark.createDataFrame([], "source string, weight double"), 720)
+    assert mixing.schedule(parts, 720).collect() == []
+
+
 def test_sequences_follow_the_mixture_over_several_files(spark, tmp_path):
     r = random.Random(9)
     rows = [(i, " ".join(f"w{r.randint(0, 99)}" for _ in range(r.choice([50, 300, 900]))), "hot" if i % 3 else f"s{i % 7}") for i in range(1500)]
