@@ -5,7 +5,8 @@ Every byte covered by a ``length``-byte string that also starts in a document wi
 1. Each window of ``length`` bytes has a fingerprint, the least hash of the 16-byte strings in it, so equal windows
    have equal fingerprints, and runs of windows with one fingerprint form a segment. Only fingerprints that occur in
    two documents can hold a match; they are found by counting packed 32-bit parts in as many buckets as the
-   input asks for. Documents are kept by shard in a bucketed table, which is read three times and not shuffled again.
+   input asks for. Documents are kept by shard in bucketed files, which are read three times and not shuffled again;
+   a file holds several shards where the input asks for more shards than Spark has buckets.
 2. Segments with such a fingerprint, equal ones of a shard joined, go to the bucket of the fingerprint.
    There equal segments of all shards are joined, and those whose fingerprint has several are the strings of a few
    shard texts. Each gets its transform, and the transforms are merged by refining their interleave: one
@@ -22,14 +23,13 @@ Memory of a task is that of a shard or bucket, whose number follows the input. A
 Null text counts as empty. Texts of one id are one document to each other (nothing of one is removed for the
 other). Rows with a null id have no order: nothing of them is removed, and nothing for them. An empty table gives
 no rows. Strings are told apart by their fingerprint and a 64-bit hash of their bytes; whether a fingerprint has
-a single string, by 31 bits of that hash.
+a single string, by 63 bits of that hash.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import mix64, stage
-from orderlens.session import stage_root
+from orderlens.session import stage_bucketed
 
 GRAM = 16
 _PART = 1 << 20  # windows of a long text that are looked at together
@@ -45,7 +45,7 @@ _NONE = np.iinfo(np.int64).max
 _SEPARATOR = 255
 _SEGMENT = np.dtype([("key", "<u8"), ("hash", "<u8"), ("n", "<u4"), ("doc", "<i8")])
 _RUN = np.dtype([("string", "<u4"), ("start", "<u4"), ("n", "<u4"), ("doc", "<i8")])
-_COUNT = np.dtype([("part", "<u4"), ("docs", "u1"), ("content", "<u4")])  # content 0: several
+_COUNT = np.dtype([("part", "<u4"), ("docs", "<u4"), ("content", "<u8")])  # content 0: several
 _MARK = np.dtype([("part", "<u4"), ("mark", "u1")])
 _SEVERAL, _HOT, _SINGLE = 1, 2, 3  # strings with a fingerprint: several; too many documents; one
 
@@ -159,8 +159,8 @@ class Segments:
 
 
 def _content(seg: Segments) -> np.ndarray:
-    """32 bits of a segment's bytes and length, never 0."""
-    return (mix64(seg.hash + seg.n.astype(np.uint64), 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    """64 bits of a segment's bytes and length, never 0."""
+    return mix64(seg.hash + seg.n.astype(np.uint64), 5) | np.uint64(1)
 
 
 def _texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,22 +301,24 @@ def _least_documents(s: np.ndarray, content: np.ndarray, length: int, shards: in
     return bounds, answer
 
 
-def sharded(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """Documents with an id in a table bucketed by shard, and the number of buckets (a power of two)."""
+def sharded(docs: DataFrame, shard_bytes: int, most_files: int = 1 << 16) -> tuple[DataFrame, int]:
+    """Documents with an id in files bucketed by shard, and the number of buckets of fingerprints (a power of two).
+
+    There are twice as many shards as buckets. Beyond ``most_files`` buckets a file holds more of them; as its rows are
+    sorted by shard, a task still holds one shard at a time. The files stay in the shared folder, as of every stored table.
+    """
     spark = docs.sparkSession
     rows = docs.filter(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = 1 << max(3, math.ceil(math.log2(max(1, size / shard_bytes))))
-    name = f"text_shards_{uuid.uuid4().hex}"
-    (rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(2 * buckets))).repartition(buckets, "shard")
-     .write.bucketBy(buckets, "shard").sortBy("shard").option("compression", "zstd").option("path", f"{stage_root(spark)}/{name}").saveAsTable(name))
-    return spark.table(name), buckets
+    shards = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(2 * buckets)))
+    return stage_bucketed(shards, "text-shards", "shard", min(buckets, most_files), ["shard"], compression="zstd"), buckets
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 12 << 20, hot_documents: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 12 << 20, hot_documents: int = 50_000, most_files: int = 1 << 16) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for every row of ``docs``."""
-    texts, buckets = sharded(docs, shard_bytes)
+    texts, buckets = sharded(docs, shard_bytes, most_files)
     low = np.uint64(buckets - 1)
 
     def bucket_and_part(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -336,7 +338,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 12 << 2
         at = np.flatnonzero(new)
         out = np.empty(len(at), _COUNT)
         if len(at):
-            out["part"], out["docs"] = p[at], np.minimum(np.add.reduceat(documents.astype(np.int64), at), 255)
+            out["part"], out["docs"] = p[at], np.add.reduceat(documents.astype(np.int64), at)
             c = _content(seg)[order]
             least, most = np.minimum.reduceat(c, at), np.maximum.reduceat(c, at)
             out["content"] = np.where(least == most, least, 0)
@@ -352,7 +354,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, shard_bytes: int = 12 << 2
         values, inverse = np.unique(every["part"], return_inverse=True)
         total = np.bincount(inverse, weights=every["docs"], minlength=len(values))
         # each id is in one shard, so two shards have two documents
-        least, most = np.full(len(values), 2**32 - 1, np.uint32), np.zeros(len(values), np.uint32)
+        least, most = np.full(len(values), 2**64 - 1, np.uint64), np.zeros(len(values), np.uint64)
         np.minimum.at(least, inverse, every["content"])
         np.maximum.at(most, inverse, every["content"])
         single = (least == most) & (least > 0)

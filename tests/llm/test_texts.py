@@ -89,13 +89,15 @@ def removed(texts, length=50):
     return out
 
 
-@pytest.mark.parametrize("hot,shard", [(50_000, 12 << 20), (3, 4000)])
-def test_repeats_equal_brute_force(spark, hot, shard):
+@pytest.mark.parametrize("hot,shard,files", [(50_000, 12 << 20, 1 << 16), (3, 4000, 4)])
+def test_repeats_equal_brute_force(spark, hot, shard, files):
     texts = corpus(2) + ["ab" * 200, "ab" * 150 + "c", "é" * 60, "é" * 60, "", None, "x" * 49, "x" * 49, "x" * 50, "x" * 51]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in bwt_dedup.remove_repeats(df, hot_documents=hot, shard_bytes=shard).collect()}
+    cut = bwt_dedup.remove_repeats(df, hot_documents=hot, shard_bytes=shard, most_files=files)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in cut.collect()}
     want = removed(texts)
     assert [got[i] for i in range(len(texts))] == want
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("text_shards")]
 
 
 def test_repeats_in_parts_of_a_long_text(spark, monkeypatch):
