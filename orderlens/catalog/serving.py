@@ -123,13 +123,13 @@ def _(spark, sf):
 
 
 cte("v_hist_lines", """
-SELECT order_id * 10 + line_no AS purchase_id, cust_id, item_id, CAST(qty AS INTEGER) AS quantity, CAST(round(CAST(amount / qty AS DECIMAL(28, 8)), 2) AS DOUBLE) AS unit_price, order_date AS sold_at FROM v_sales""")
+SELECT order_id * 1000000 + line_no AS purchase_id, cust_id, item_id, CAST(qty AS INTEGER) AS quantity, CAST(round(CAST(amount / qty AS DECIMAL(28, 8)), 2) AS DOUBLE) AS unit_price, order_date AS sold_at FROM v_sales""")
 
 
 def purchase_lines(spark, sf):
     from ..functions.columns import half_up
     s = M(spark, sf).sales
-    return s.select((F.col("order_id") * 10 + F.col("line_no")).alias("purchase_id"), "cust_id", "item_id", F.col("qty").cast("int").alias("quantity"),
+    return s.select((F.col("order_id") * 1000000 + F.col("line_no")).alias("purchase_id"), "cust_id", "item_id", F.col("qty").cast("int").alias("quantity"),
                     half_up(F.col("amount") / F.col("qty")).alias("unit_price"), F.col("order_date").alias("sold_at"))
 
 

@@ -8,6 +8,7 @@ their part of other pairs is looked up for the candidates found elsewhere.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,13 +31,9 @@ def weekly_baskets(eligible: DataFrame, min_buyers: int) -> DataFrame:
     return rows.join(enough.select("item_id"), "item_id", "left_semi").select("basket", "item_id")
 
 
-def half_pairs(rows: DataFrame, group: str, sizes: DataFrame, payload: Sequence[str] = ()) -> DataFrame:
-    """Pairs (item_a < item_b) that share a group; wide groups are cut into block pairs."""
-    k = F.ceil(F.col("_n") / BLOCK).cast("int")
-    r = rows.join(sizes, group).withColumn("_k", k).withColumn(
-        "_own", F.pmod(F.xxhash64("item_id"), F.col("_k")).cast("int"))
-    r = r.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    r = r.withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other")})
+def _meet(dealt: DataFrame, group: str, payload: Sequence[str]) -> DataFrame:
+    """Pairs (item_a < item_b) of rows dealt to the cells of their own block (``_own``) and another (``_other``)."""
+    r = dealt.withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other")})
     a = r.select(group, "_lo", "_hi", F.col("item_id").alias("item_a"), F.col("_own").alias("_own_a"),
                  *[F.col(c).alias(f"{c}_a") for c in payload])
     b = r.select(group, "_lo", "_hi", F.col("item_id").alias("item_b"), F.col("_own").alias("_own_b"),
@@ -46,6 +43,38 @@ def half_pairs(rows: DataFrame, group: str, sizes: DataFrame, payload: Sequence[
         "_lo", "_hi", "_own_a", "_own_b")
 
 
+def half_pairs(rows: DataFrame, group: str, sizes: DataFrame, payload: Sequence[str] = ()) -> DataFrame:
+    """Pairs (item_a < item_b) that share a group; wide groups are cut into block pairs."""
+    k = F.ceil(F.col("_n") / BLOCK).cast("int")
+    r = rows.join(sizes, group).withColumn("_k", k).withColumn(
+        "_own", F.pmod(F.xxhash64("item_id"), F.col("_k")).cast("int"))
+    return _meet(r.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))), group, payload)
+
+
+def bounded_half_pairs(rows: DataFrame, group: str, length: str, floor: float, payload: Sequence[str] = ()) -> DataFrame:
+    """Pairs of a group whose lengths (above 0, at most 1) may multiply to ``floor``; others are hardly ever listed.
+
+    Blocks hold items of like length, in steps of the eighth root of 2. A block meets only blocks whose
+    longest items can make up for its own, so short items are never paired with short ones. Pairs that are
+    listed may miss ``floor`` by two steps; those that reach it are all there.
+    """
+    most = math.floor(-8 * math.log2(floor) + 1e-6)  # steps that two items may be short of 1 together
+    step = F.greatest(F.floor(-8 * F.log2(F.col(length)) - 1e-9), F.lit(0)).cast("int")
+    r = rows.withColumn("_step", step).filter(F.col("_step") <= most)
+    cells = (r.groupBy(group, "_step").agg(F.count(F.lit(1)).alias("_n"))
+             .groupBy(group).agg(F.collect_list(F.struct("_step", F.ceil(F.col("_n") / BLOCK).cast("int").alias("k"))).alias("_cells")))
+
+    def block(at, number):
+        return at.cast("long") * F.lit(1 << 32) + number
+
+    blocks = F.flatten(F.transform(
+        F.filter("_cells", lambda c: c["_step"] + F.col("_step") <= most),
+        lambda c: F.transform(F.sequence(F.lit(0), c["k"] - 1), lambda i: block(c["_step"], i))))
+    mine = F.filter("_cells", lambda c: c["_step"] == F.col("_step"))[0]["k"]
+    r = r.join(cells, group).withColumn("_own", block(F.col("_step"), F.pmod(F.xxhash64("item_id"), mine)))
+    return _meet(r.withColumn("_other", F.explode(blocks)).drop("_cells"), group, payload)
+
+
 def pair_counts(baskets: DataFrame, p: PairParams) -> DataFrame:
     """Exact counts of item pairs seen together in at least ``min_together`` baskets.
 
@@ -149,8 +178,8 @@ def item_similarity(weights: DataFrame, p: PairParams) -> DataFrame:
 
     Customers with very many items stay out of the self-join of all items. What they add to a pair is
     at most the product of the lengths of both items' parts in those customers, so only pairs that can still
-    reach the minimum with that are kept and looked up, and only items whose lengths multiply to it pair up
-    inside those customers. The result does not depend on ``wide_basket``.
+    reach the minimum with that are kept and looked up, and only blocks of items whose lengths can multiply to it
+    meet inside those customers. The result does not depend on ``wide_basket``.
     """
     floor = p.min_similarity - 6e-7  # results are compared after rounding to 6 digits
     w = weights.filter(F.abs("x") > 1e-12)  # an entry at its customer's mean adds nothing
@@ -173,7 +202,7 @@ def item_similarity(weights: DataFrame, p: PairParams) -> DataFrame:
     both = seen.join(extra, ["item_a", "item_b"], "left").select(
         "item_a", "item_b", (F.col("dot") + F.coalesce("more", F.lit(0.0))).alias("dot"))
     strong = hot.join(part.filter(F.col("h") >= floor), "item_id")
-    only_hot = half_pairs(strong, "cust_id", sizes, ["x", "h"]).filter(
+    only_hot = bounded_half_pairs(strong, "cust_id", "h", floor, ["x", "h"]).filter(
         F.col("h_a") * F.col("h_b") >= floor).groupBy("item_a", "item_b").agg(
         F.sum(F.col("x_a") * F.col("x_b")).alias("dot")).join(
         seen.select("item_a", "item_b"), ["item_a", "item_b"], "left_anti")

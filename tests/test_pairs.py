@@ -97,6 +97,20 @@ def test_similarity_does_not_depend_on_the_switch(spark):
     assert found[0] == found[1] == found[2] and min(s for _, _, s in found[0]) == round(low, 6)
 
 
+def test_bounded_pairs_list_those_that_can_reach_the_minimum(spark):
+    r = random.Random(4)
+    rows = [(c, i, 2 ** -r.uniform(0, 6)) for c in range(3) for i in range(400)] + [(3, 1, 1.0), (3, 2, 0.05), (3, 3, 0.0499)]
+    floor = 0.05
+    frame = spark.createDataFrame(rows, "cust_id long, item_id long, h double")
+    listed = [(x.cust_id, x.item_a, x.item_b) for x in pa.bounded_half_pairs(frame, "cust_id", "h", floor, ["h"]).collect()]
+    of = {(c, i): h for c, i, h in rows}
+    pairs = [(c, a, b) for c in range(4) for a, b in combinations(sorted(i for d, i in of if d == c), 2)]
+    can = {(c, a, b) for c, a, b in pairs if of[c, a] * of[c, b] >= floor}
+    assert len(listed) == len(set(listed)) and can <= set(listed)
+    assert all(of[c, a] * of[c, b] >= floor * 2 ** -0.26 for c, a, b in listed)
+    assert len(listed) < 0.5 * len(pairs)
+
+
 def test_key_matches_count_the_join(spark):
     df = catalogue(spark, [(1, 10.0, 60, 0, 0), (2, 9.0, 1, 0, 0), (3, 5.0, 60, 1, 0), (4, 4.0, 60, 1, 0), (5, 1.0, 60, 1, 1)])
     assert {tuple(x) for x in pa.key_matches(df).collect()} == {(1, 2, 4.0), (2, 2, 4.0)}
