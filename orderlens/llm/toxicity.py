@@ -3,8 +3,8 @@
 The kernel compares a word with a landmark by their common subsequences of ``order`` letters, each weighted
 by decay to the power of the span it takes in both, so letters in between (``idxiot``, ``i-d-i-o-t``) lower a
 match and do not end it. It is divided by the landmark's kernel with itself, so a landmark inside a longer
-word counts in full. A text's value for a landmark is that of its best word. Words that share fewer than two
-gapped letter triples with every landmark count as 0.
+word counts in full. A text's value for a landmark is that of its best word. Words that share no
+gapped letter triple with any landmark, and words whose values are all at most 0.2, count as 0.
 
 Landmarks are the words and word beginnings whose counts in labelled toxic and other texts differ most, and some of the most common other words. Kernel values with the landmarks times the inverse square
 root of the landmarks' own kernel matrix are the Nystroem features; a squared-hinge support vector machine on
