@@ -10,11 +10,11 @@ Every byte covered by a ``length``-byte string that also starts in a document wi
 2. Segments with such a fingerprint, equal ones of a shard joined, go to the bucket of the fingerprint.
    There equal segments of all shards are joined, and those whose fingerprint has several are the strings of a few
    shard texts. Each gets its transform, and the transforms are merged by refining their interleave: one
-   stable pass by the preceding symbol a round, so after round h all suffixes are in the order of their
-   first h bytes without being sorted again; only suffixes that begin h bytes before a window's end take
-   part in round h. A boundary that appears in round h divides suffixes with h - 1 bytes in
-   common; the intervals that are left after ``length`` rounds are the repeated strings. Each interval's
-   least document id is the answer for its windows.
+   stable pass by the preceding symbol a round (two rounds at a time), so after round h all suffixes are in the
+   order of their first h bytes without being sorted again; only suffixes that begin h bytes before a window's
+   end take part in round h. A boundary that appears in round h divides suffixes with h - 1 bytes in
+   common; a suffix alone between two boundaries can equal no other and leaves. The intervals that are left
+   after ``length`` rounds are the repeated strings. Each interval's least document id is the answer for its windows.
 3. Answers return to the shards as runs of windows, where the bytes are removed.
 
 Memory of a task is that of a shard or bucket, whose number follows the input. A fingerprint of more than
@@ -190,47 +190,60 @@ def _rows(shard: np.ndarray, bucket: np.ndarray, kind: int, payloads: list[bytes
     return _table({"shard": shard, "bucket": bucket, "kind": np.full(len(payloads), kind, np.int32), "payload": payloads}, t)
 
 
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before, for all rows and behind the last; both ends differ."""
+    edge = np.ones(len(columns[0]) + 1, bool)
+    edge[1:-1] = False
+    for c in columns:
+        edge[1:-1] |= c[1:] != c[:-1]
+    return edge
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of a cyclic text in the order of their next ``depth`` symbols, by doubling of ranks."""
+    """Places of a cyclic text in the order of their next ``depth`` symbols, by doubling of ranks where they are equal so far."""
     n = len(text)
     x = np.concatenate([text] * (1 + -(-(depth + 8) // max(n, 1))))[:n + 8].astype(np.uint64)
     key = np.zeros(n, np.uint64)
     known = min(8, depth)
     for i in range(known):
         key = (key << np.uint64(8)) | x[i:i + n]
-    while True:
-        order = np.argsort(key, kind="stable")
-        if known >= depth:
-            return order
-        sorted_key = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]])).astype(np.uint64)
+    order = np.argsort(key)
+    key, equal, rank = key[order], np.arange(n), np.empty(n, np.uint64)
+    while known < depth:
+        edge = _edges(key)
+        first = edge[:-1]
+        rank[order[equal]] = equal[first][np.cumsum(first) - 1]
+        equal = equal[~(first & edge[1:])]
         step = min(known, depth - known)
-        key = (rank << np.uint64(32)) | np.roll(rank, -step)
+        place = order[equal]
+        key = (rank[place] << np.uint64(32)) | rank.take(place + step, mode="wrap")
+        by = np.argsort(key)
+        order[equal], key = place[by], key[by]
         known += step
+    return order
 
 
-def merge_transforms(transforms: list[np.ndarray], from_round: list[np.ndarray], to_round: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' windows in the order of their first ``depth`` symbols, and their intervals.
+def merge_transforms(transforms: list[np.ndarray], steps: list[np.ndarray], rows: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of those windows of the shards that equal another in ``depth`` symbols, in their order, and their intervals.
 
-    A transform's rows take part from one round to another: row by row the suffixes that are as many symbols before
-    the end of a window as there have been rounds. Each steps to the suffix that begins a symbol earlier;
-    a stable pass by that symbol keeps the order of what follows.
+    ``rows`` are the transforms' rows behind the windows' ends, ``steps`` lead from a row to that of the suffix that begins
+    a symbol earlier. Rows are counted through all transforms. Each round all suffixes step; a stable pass by the symbol
+    passed keeps the order of what follows. Two symbols go into a pass. A suffix alone in its interval stays alone however
+    many symbols come before it, so it leaves.
     """
-    live = [t[f == 0] for t, f in zip(transforms, from_round)]
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in live])
-    interval = np.zeros(len(shard), np.int32)
-    symbol = np.empty(len(shard), np.uint8)
-    edge = np.zeros(len(shard), bool)
-    for h in range(depth):
-        for k, t in enumerate(transforms):
-            symbol[shard == k] = t[(from_round[k] <= h) & (h < to_round[k])]
-        step = np.argsort(symbol, kind="stable")
-        shard, before, s = shard[step], interval[step], symbol[step]
-        np.not_equal(s[1:], s[:-1], out=edge[1:])
-        edge[1:] |= before[1:] != before[:-1]
-        interval = np.cumsum(edge, dtype=np.int32)
-    return shard, interval
+    base = np.cumsum([0] + [len(t) for t in transforms[:-1]])
+    symbol, back, row = (np.concatenate(x) for x in (transforms, [s + at for s, at in zip(steps, base)], [r + at for r, at in zip(rows, base)]))
+    pair, back_two = (symbol[back].astype(np.uint16) << np.uint16(8)) | symbol, back[back]
+    interval = np.zeros(len(row), np.int32)
+    for h in range(0, depth, 2):
+        passed, earlier = (pair, back_two) if h + 1 < depth else (symbol, back)
+        s = passed[row]
+        step = np.argsort(s, kind="stable")
+        row = earlier[row[step]]
+        edge = _edges(s[step], interval[step])
+        several = ~(edge[:-1] & edge[1:])
+        row, interval = row[several], np.cumsum(edge[:-1], dtype=np.int32)[several]
+    return row, interval
 
 
 def repeated_windows(texts: list[np.ndarray], windows: list[np.ndarray], docs: list[np.ndarray], length: int) -> list[np.ndarray]:
@@ -238,32 +251,22 @@ def repeated_windows(texts: list[np.ndarray], windows: list[np.ndarray], docs: l
 
     ``windows`` holds the places where a window begins (in runs, ascending), ``docs`` their documents.
     """
-    orders, rounds = [suffix_order(t, length) for t in texts], []
-    for t, w, o in zip(texts, windows, orders):
-        # round h has the places length - h behind the beginnings of a run of windows
-        first = w[np.diff(w, prepend=-2) != 1]
-        last = w[np.append(np.diff(w) != 1, True)] if len(w) else w
-        place = np.arange(len(t))
-        run = np.searchsorted(first, place, "right") - 1
-        near = np.maximum(run, 0)
-        begin, end = length - (place - first[near]), length - (place - last[near]) + 1
-        rounds.append((np.where(run >= 0, begin, length + 1)[o].astype(np.int32), np.where(run >= 0, end, length + 1)[o].astype(np.int32)))
-    # places further behind a run than ``length`` began before round 0
-    starts = [np.maximum(b, 0) for b, _ in rounds]
-    shard, interval = merge_transforms([t[o - 1] for t, o in zip(texts, orders)], starts, [e for _, e in rounds], length)
-    found = [np.flatnonzero((b <= length) & (length < e)) for b, e in rounds]  # the windows themselves, in order
-    doc = np.empty(len(shard), np.int64)
-    at = []
-    for k, (o, w, d, f) in enumerate(zip(orders, windows, docs, found)):
-        at.append(np.searchsorted(w, o[f]))
-        doc[shard == k] = d[at[k]]
-    least = np.minimum.reduceat(doc, np.flatnonzero(np.diff(interval, prepend=-1)))[interval]
-    out = []
-    for k, w in enumerate(windows):
-        answer = np.empty(len(w), np.int64)
-        answer[at[k]] = least[shard == k]
-        out.append(answer)
-    return out
+    transforms, steps, rows, begin, base = [], [], [], [], 0
+    for t, w in zip(texts, windows):
+        order = suffix_order(t, length)
+        rank = np.empty(len(t), np.intp)
+        rank[order] = np.arange(len(t))
+        transforms.append(t[order - 1]), steps.append(rank[order - 1])
+        rows.append(np.sort(rank[w + length])), begin.append(rank[w] + base)
+        base += len(t)
+    row, interval = merge_transforms(transforms, steps, rows, length)
+    at = np.concatenate(begin)
+    doc = np.empty(base, np.int64)
+    doc[at] = np.concatenate(docs)
+    first = _edges(interval)[:-1]
+    if len(row):
+        doc[row] = np.minimum.reduceat(doc[row], np.flatnonzero(first))[np.cumsum(first) - 1]
+    return np.split(doc[at], np.cumsum([len(w) for w in windows])[:-1])
 
 
 def _least_documents(s: np.ndarray, content: np.ndarray, length: int, shards: int = 2, at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:

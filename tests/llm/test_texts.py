@@ -132,6 +132,40 @@ def test_suffix_order_and_merge():
     assert sorted(order) == list(range(200)) and keys == sorted(keys)
 
 
+@pytest.mark.parametrize("length", [20, 21])
+def test_least_document_of_equal_windows(length):
+    r = np.random.default_rng(length)
+    texts, windows, docs = [], [], []
+    for k in range(3):
+        strings = [r.integers(97, 99, r.integers(length, 90)).astype(np.uint8) for _ in range(12)]
+        strings += [np.full(40, 97, np.uint8), np.tile(np.array([97, 98], np.uint8), 30)][k:]
+        texts.append(np.concatenate([np.append(s, bwt_dedup._SEPARATOR).astype(np.uint8) for s in strings]))
+        start = np.cumsum([0] + [len(s) + 1 for s in strings])
+        windows.append(np.concatenate([a + np.arange(len(s) - length + 1) for a, s in zip(start, strings)]))
+        docs.append(r.permutation(len(windows[-1])) + 7 * k)
+    least = {}
+    for t, w, d in zip(texts, windows, docs):
+        for i, x in zip(w, d):
+            b = t[i:i + length].tobytes()
+            least[b] = min(least.get(b, x), x)
+    got = bwt_dedup.repeated_windows(texts, windows, docs, length)
+    assert [g.tolist() for g in got] == [[least[t[i:i + length].tobytes()] for i in w] for t, w in zip(texts, windows)]
+
+
+def test_windows_without_an_equal_leave_the_merge(monkeypatch):
+    r = np.random.default_rng(4)
+    texts = [np.append(r.integers(97, 123, 6000), bwt_dedup._SEPARATOR).astype(np.uint8) for _ in range(2)]
+    texts[1][1000:1200] = texts[0][3000:3200]
+    windows = [np.arange(len(t) - 50) for t in texts]
+    docs = [np.full(len(w), 2 - k) for k, w in enumerate(windows)]
+    argsort, passed = np.argsort, []
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: passed.append(len(x)) or argsort(x, *a, **k))
+    got = bwt_dedup.repeated_windows(texts, windows, docs, 50)
+    # 50 passes over all windows before those that are alone left
+    assert sum(passed) < 8 * sum(map(len, texts))
+    assert np.flatnonzero(got[0] == 1).tolist() == list(range(3000, 3151)) and (got[1] == 1).all()
+
+
 def labelled(spark, n=600):
     r = random.Random(5)
     words = ["".join(r.choice("aeioulnrstm") for _ in range(r.randint(2, 9))) for _ in range(500)]
