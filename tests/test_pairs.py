@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from dataclasses import replace
 from itertools import combinations
 
+import pandas as pd
 import pytest
 
 from orderlens.operators import pairs as pa
@@ -142,3 +143,53 @@ def test_conversions_equal_brute_force(spark):
             return round(2.0 * o[3] - max(-1, min(1, delta)) + math.log1p(o[2]) / 10, 6)
         want = sorted(own, key=lambda o: (-score(o), o[1], o[0]))[:3]
         assert got[i] == [o[0] for o in want]
+
+
+@pytest.mark.parametrize("k,cheap_are_popular", [(1, False), (3, False), (3, True)])
+def test_upgrades_equal_brute_force_and_meet_few(spark, k, cheap_are_popular):
+    r = random.Random(k)
+    price = lambda: r.choice([round(r.uniform(5, 30), 2), 10.0, 7.0])
+    own = [(1000 + i, price(), r.randint(50, 400)) for i in range(400)]
+    if cheap_are_popular:
+        own = [(i, q, int(4000 / q)) for i, q, _ in own]
+    own += [(2000 + i, q, 60_000 + i % 3) for i, q in enumerate([9.0, 9.0, 9.0, 9.5, 9.5])] + own[:3]  # more buyers than a score tells apart, rows twice
+    national = [(i, price(), 80) for i in range(60)]
+    df = catalogue(spark, [(*x, 0, 0) for x in national] + [(*x, 1, 0) for x in own])
+    got = defaultdict(list)
+    for x in pa.brand_upgrades(df, PairParams(max_equivalents=k)).orderBy("original_item", "rank").collect():
+        got[x.original_item].append((x.equivalent_item, x.price_delta_pct, x.score))
+    for i, q, _ in national:
+        found = [(e, round((x - q) / q, 6), b) for e, x, b in own]
+        want = sorted((-round(-2.0 * d + math.log1p(b) / 10, 6), e, d) for e, d, b in found if -0.3 <= d <= 0)[:k]
+        assert [(e, d) for _, e, d in want] == [x[:2] for x in got[i]]
+
+
+def rivals(rows, private=None):
+    return pd.DataFrame([(i, q, b, 1 if private is None else private[n], True) for n, (i, q, b) in enumerate(rows)],
+                        columns=["equivalent_item", "equivalent_price", "equivalent_buyers", "equivalent_private", "_own"])
+
+
+def test_alternatives_that_cannot_win_meet_no_original():
+    r = random.Random(1)
+    rows = [(i, r.uniform(10, 14), r.randint(50, 5000)) for i in range(2000)]
+    ranges = [(q, x) for q, x in pa._kth_rival(rivals(rows), 3)[["equivalent_price", "_rival"]].itertuples(index=False)]
+    for original in (14.0, 14.5, 15.0):  # all 2000 are in the band of the first
+        assert sum(q >= 0.7 * original and not x >= 0.7 * original for q, x in ranges) < 60
+    left = pa._unbeaten(rivals(rows, [r.randint(0, 1) for _ in rows]), 3)
+    assert 3 <= len(left) < 100
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_conversions_with_rows_twice_and_null_flags(spark, k):
+    r = random.Random(k)
+    own = [(100 + i, float(r.randint(1, 12)), r.randint(50, 300), r.choice([0, 1]), 0) for i in range(150)]
+    own += own[:5] + [(900 + i, 0.5, 900, None, 0) for i in range(3)]
+    comp = [(i, float(r.randint(1, 12)), 80, 0, 1) for i in range(10)]
+    got = defaultdict(list)
+    for x in pa.competitor_conversions(catalogue(spark, own + comp), PairParams(max_equivalents=k)).orderBy("original_item", "rank").collect():
+        got[x.original_item].append(x.equivalent_item)
+    for i, p, *_ in comp:
+        def score(o):
+            return round(2.0 * o[3] - max(-1, min(1, round((o[1] - p) / p, 6))) + math.log1p(o[2]) / 10, 6)
+        want = sorted((o for o in own if o[3] is not None), key=lambda o: (-score(o), o[1], o[0]))[:k]
+        assert got[i] == [o[0] for o in want]
