@@ -5,7 +5,8 @@ import random
 from dataclasses import replace
 
 from orderlens.functions.skew import salted_join
-from orderlens.params import ModelParams, PairParams, ProductParams
+from orderlens.params import EngineParams, ModelParams, PairParams, ProductParams
+from orderlens.plans import model
 from orderlens.plans.model import Model
 
 
@@ -47,3 +48,19 @@ def test_salted_join_equals_a_plain_one(spark):
         got = salted_join(rows, lookup, ["k"], ["id"], how, salts=7)
         want = rows.join(lookup, ["k"], how)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+
+
+def test_signals_by_slices_of_the_customers_are_the_same(spark, monkeypatch):
+    few = replace(ModelParams(), pairs=PairParams(min_buyers=2, min_together=2, min_support=0.0, min_lift=0.0), products=ProductParams(min_buyers=2),
+                  engine=replace(EngineParams(), min_buyers=2, recency_months=1000.0), excluded_families=())
+    m = Model(*role_tables(spark), params=few)
+    m.prepare()
+    monkeypatch.setattr(model, "CUSTOMERS", 25)  # three slices of the 60 customers
+    total = 0
+    for name in ("item_similarity", "lapsed_recovery"):
+        got = m._stored_signal(name)
+        rows = sorted(map(str, got.collect()))
+        assert rows == sorted(map(str, m.signal(name).collect()))
+        assert len({f.rsplit("/", 2)[1] for f in got.inputFiles()}) == 3  # a folder for each slice
+        total += len(rows)
+    assert total > 0
